@@ -13,7 +13,7 @@ A second candidate that fits as well is reported as ``unique = false``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -64,10 +64,14 @@ def stated(text: Column, units: Sequence[Unit]) -> Column:
     t = F.lower(text)
     exact = [F.when(F.regexp_like(t, F.lit(u.pattern)), F.lit(u.name)) for u in units]
     words = F.split(t, r"[^\p{L}]+")
-    near = [F.when(F.exists(words, lambda w, u=u: reduce(lambda a, b: a | b, [_misspelt(w, k) for k in u.words])), F.lit(u.name)) for u in units if u.words]
+    near = [F.when(F.exists(words, _any_misspelt(u.words)), F.lit(u.name)) for u in units if u.words]
     return F.coalesce(*exact, *near)
 
 
+def _any_misspelt(keys: Sequence[str]) -> Callable[[Column], Column]:
+    return lambda word: reduce(lambda a, b: a | b, [_misspelt(word, k) for k in keys])
+
+
 def _misspelt(word: Column, key: str) -> Column:
     """One letter wrong, lost, doubled or swapped with its neighbour (the same letters, two edits)."""
     edits = F.levenshtein(word, F.lit(key), 2)
@@ -127,10 +131,14 @@ def choose(residuals: dict[str, Column], extra: dict[str, Column] | None = None)
 
 def converted(values: Column, unit: Column, units: Sequence[Unit]) -> Column:
     """The array in common units, NaN kept; null where the unit is."""
-    branches = [F.when(unit == u.name, F.transform(values, lambda v, u=u: u.convert(v.cast("double")))) for u in units]
+    branches = [F.when(unit == u.name, F.transform(values, _converter(u))) for u in units]
     return F.coalesce(*branches)
 
 
+def _converter(u: Unit) -> Callable[[Column], Column]:
+    return lambda v: u.convert(v.cast("double"))
+
+
 def resolve_spectra(df: DataFrame, x: str = "xdata", y: str = "ydata", xunit: str = "xunit", yunit: str = "yunit", remark: str = "measurement") -> DataFrame:
     """``df`` with ``x_unit``, ``y_unit`` (struct unit, residual, unique) from the values, the unit columns and the remark.
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bandloom.common import one_per_key, table
-from bandloom.llm import canon
+from bandloom.common import table
+from bandloom.llm import canon, encoding
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +29,22 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir).where("termid = 0").groupBy("field", "value").agg(F.countDistinct("tab", "recordid").alias("n_records"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_unmatched)}
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts: DataFrame | None = None
+    for tab in ("samples", "ecostress_samples"):
+        t = table(spark, sf_dir, tab).select(F.lit(tab).alias("tab"), "sampleid", F.explode(F.create_map(F.lit("name"), F.col("name"), F.lit("description"), F.col("description"))).alias("field", "text"))
+        texts = t if texts is None else texts.unionByName(t)
+    return encoding.find_garbled(texts, ["tab", "sampleid", "field"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir).select("tab", "sampleid", "field").distinct()
+
+
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled texts with the original as far as it can still be had."""
+    return _garbled(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_unmatched, p6_found, p6_restored)}
 ORACLES: dict[str, str] = {}

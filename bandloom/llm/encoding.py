@@ -122,9 +122,9 @@ def _odd(word: str, alphabet: frozenset[str]) -> bool:
     for i, c in enumerate(word):
         if c.isascii():
             continue
-        if c not in alphabet:
+        before, after = word[i - 1 : i] if i else "", word[i + 1 : i + 2]
+        if c not in alphabet and (before.isalpha() or after.isalpha() or "\u2500" <= c <= "\u25ff"):
             return True
-        before, after = word[i - 1 : i], word[i + 1 : i + 2]
         if c.isalpha():
             near = [x for x in (before, after) if x and x.isalpha()]
             if any(_script(x) != _script(c) for x in near):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bandloom.common import table
-from bandloom.llm import canon, encoding
+from bandloom.llm import canon, encoding, leaks
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,5 +46,18 @@ def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _garbled(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_unmatched, p6_found, p6_restored)}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("item_id", "doc_id").distinct()
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaked item with the number of documents that repeat it and its longest repeated run."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").alias("longest_run"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_unmatched, p6_found, p6_restored, p7_found, p7_items)}
 ORACLES: dict[str, str] = {}

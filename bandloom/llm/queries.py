@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bandloom.common import table
-from bandloom.llm import canon, encoding, leaks
+from bandloom.llm import canon, encoding, leaks, reading
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +59,16 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").alias("longest_run"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_unmatched, p6_found, p6_restored, p7_found, p7_items)}
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimated level of each page with English running text."""
+    levels = reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
+    return levels.select("doc_id", F.round("level", 3).alias("level"), "step")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
+    return levels.where("step = 5").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_unmatched, p6_found, p6_restored, p7_found, p7_items, p9_found, p9_levels)}
 ORACLES: dict[str, str] = {}

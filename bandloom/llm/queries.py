@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bandloom.common import table
-from bandloom.llm import canon, encoding, leaks, reading
+from bandloom.llm import canon, encoding, leaks, neighbours, reading
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,18 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir).where("termid = 0").groupBy("field", "value").agg(F.countDistinct("tab", "recordid").alias("n_records"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spectra = table(spark, sf_dir, "spectra").select("spectrumid", "numvalues", "ydata")
+    near = neighbours.nearest(spectra, "spectrumid", "ydata", "numvalues", k=5, min_similarity=0.995)
+    return near.select(F.least("id", "neighbour").alias("spectrumid_a"), F.greatest("id", "neighbour").alias("spectrumid_b")).distinct()
+
+
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every embedding, whatever their similarity."""
+    near = neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", tables=16, block=256)
+    return near.select("id", "neighbour", F.round("similarity", 4).alias("similarity"), "rank")
+
+
 def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts: DataFrame | None = None
     for tab in ("samples", "ecostress_samples"):
@@ -70,5 +82,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.where("step = 5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_unmatched, p6_found, p6_restored, p7_found, p7_items, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_unmatched, p4_found, p4_nearest, p6_found, p6_restored, p7_found, p7_items, p9_found, p9_levels)}
 ORACLES: dict[str, str] = {}

@@ -126,7 +126,7 @@ def nearest(
     grow in number with the table, so work and shuffle grow in proportion to it.
     """
     least = -1.0 if min_similarity is None else min_similarity
-    g = F.lit(0) if group is None else F.col(f"`{group}`").cast("long")
+    g = F.lit(0).cast("long") if group is None else F.col(f"`{group}`").cast("long")
     v = F.col(f"`{vector}`")
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), g.alias("grp"), v.cast("array<float>").alias("vec")).where("id is not null and grp is not null and size(vec) > 0")
     src = src.where(~F.exists("vec", lambda e: e.isNull() | F.isnan(e)))

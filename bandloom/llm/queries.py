@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bandloom.common import table
-from bandloom.llm import canon, encoding, leaks, neighbours, reading
+from bandloom.llm import canon, encoding, leaks, matching, neighbours, reading
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match(table(spark, sf_dir, "samples"), table(spark, sf_dir, "ecostress_samples"), "sampleid", "name", "samplenum", "origin")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(spark, sf_dir).where("agrees").select(F.col("key_a").alias("sampleid_a"), F.col("key_b").alias("sampleid_b")).distinct()
+
+
+def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches with the cosine of their vectors and the confidence that it is calibrated to."""
+    m = _matched(spark, sf_dir).where("agrees")
+    return m.select(F.col("key_a").alias("sampleid_a"), F.col("key_b").alias("sampleid_b"), F.round("cosine", 4).alias("cosine"), F.round("confidence", 4).alias("confidence"))
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +96,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.where("step = 5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_unmatched, p4_found, p4_nearest, p6_found, p6_restored, p7_found, p7_items, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_confidence, p3_found, p3_unmatched, p4_found, p4_nearest, p6_found, p6_restored, p7_found, p7_items, p9_found, p9_levels)}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bandloom.common import table
-from bandloom.llm import canon, encoding, leaks, matching, neighbours, reading
+from bandloom.llm import canon, encoding, leaks, matching, mixing, neighbours, reading
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,18 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").alias("longest_run"))
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in the mixture of the target shares."""
+    m = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return m.select("doc_id", "source", "tokens", F.round("rate", 4).alias("rate"), "copies")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the mixture reached beside those wanted."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mix(table(spark, sf_dir, "documents"), targets), targets)
+
+
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The estimated level of each page with English running text."""
     levels = reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
@@ -96,5 +108,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.where("step = 5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_confidence, p3_found, p3_unmatched, p4_found, p4_nearest, p6_found, p6_restored, p7_found, p7_items, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_confidence, p3_found, p3_unmatched, p4_found, p4_nearest, p6_found, p6_restored, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_levels)}
 ORACLES: dict[str, str] = {}

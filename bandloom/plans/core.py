@@ -86,3 +86,15 @@ def p5_common(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_loaded, p5_found, p5_units, p5_common)}
 ORACLES: dict[str, str] = {}
+
+_CELL = '(?:"(?:[^"]|"")*"|[^,"]*)'
+_NUM = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+#: Cells by a full match of the record, then the checks of the statement one by one.
+_P1 = f"""with r as (select distinct rawid, line from spectra_raw),
+c as (select rawid, line is not null and regexp_full_match(line, '(?s){_CELL}(?:,{_CELL}){{12}}') as shaped, regexp_extract_all(line || ',', '(?s)({_CELL}),', 1) as cells from r),
+u as (select rawid, shaped, cells[11] as nv, list_transform(cells, lambda x: case when x like '"%' then replace(x[2:-2], '""', '"') else x end) as cells from c),
+k as (select rawid, shaped, coalesce(cells[11], '') as nv, coalesce(cells[12], '') as x, coalesce(cells[13], '') as y from u),
+j as (select rawid, shaped and regexp_full_match(nv, '[0-9]+') and regexp_full_match(x, '[ \\t]*{_NUM}(?:[ \\t]+{_NUM})*[ \\t]*') and regexp_full_match(y, '[ \\t]*{_NUM}(?:[ \\t]+{_NUM})*[ \\t]*') as reads,
+try_cast(nv as hugeint) as n, len(string_split_regex(trim(x, ' \t'), '[ \\t]+')) as nx, len(string_split_regex(trim(y, ' \t'), '[ \\t]+')) as ny from k)
+select distinct rawid from j where not (reads and coalesce(n, 0) >= 1 and n = nx and n = ny)"""
+ORACLES["p1_found"] = _P1

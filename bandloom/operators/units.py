@@ -13,6 +13,7 @@ A second candidate that fits as well is reported as ``unique = false``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -106,27 +107,30 @@ def axis_residuals(values: Column, said: Column, units: Sequence[Unit] = WAVELEN
     return out
 
 
-def share_residuals(values: Column, said: Column, units: Sequence[Unit] = FRACTION) -> dict[str, Column]:
-    """As axis_residuals, for shares of light: none exceeds one by more than noise, and few are tiny."""
-    clean = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v))
-    top = F.array_max(clean).cast("double")
-    out = {}
-    for u in units:
-        above = F.when(top > 0, F.greatest(F.lit(0.0), F.ln(F.when(top > 0, top) * u.factor / 1.2)) + 0.2 * F.abs(F.ln(F.when(top > 0, top) * u.factor / 0.6)))
-        out[u.name] = F.coalesce(above, F.lit(0.0)) + _denied(said, u)
-    return out
+def largest(values: Column) -> Column:
+    """The greatest value that is neither null nor NaN."""
+    return F.array_max(F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v))).cast("double")
+
+
+def share_residuals(top: Column, said: Column, units: Sequence[Unit] = FRACTION) -> dict[str, Column]:
+    """As axis_residuals, for shares of light by their largest value: none exceeds one by more than noise, and few are tiny."""
+    log = F.ln(F.when(top > 0, top))
+    return {u.name: F.coalesce(F.greatest(F.lit(0.0), log + math.log(u.factor / 1.2)) + 0.2 * F.abs(log + math.log(u.factor / 0.6)), F.lit(0.0)) + _denied(said, u) for u in units}
 
 
 def _denied(said: Column, u: Unit) -> Column:
     return F.when(said.isNull() | (said == u.name), 0.0).otherwise(DENIED)
 
 
-def choose(residuals: dict[str, Column], extra: dict[str, Column] | None = None) -> Column:
-    """struct(unit, residual, unique) of the candidate with the smallest residual; ties go to the first by name."""
-    extra = extra or {}
-    ranked = F.array_sort(F.array(*[F.struct(F.round(r + extra.get(n, F.lit(0.0)), 6).alias("residual"), F.lit(n).alias("unit")) for n, r in residuals.items()]))
-    best, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
-    return F.struct(best["unit"].alias("unit"), best["residual"].alias("residual"), (second["residual"] - best["residual"] > TOLERANCE).alias("unique"))
+def ranked(residuals: dict[str, Column]) -> Column:
+    """The candidates as array of struct(residual, unit), best first; ties go to the first by name."""
+    return F.array_sort(F.array(*[F.struct(F.round(r, 6).alias("residual"), F.lit(n).alias("unit")) for n, r in residuals.items()]))
+
+
+def choose(order: Column) -> Column:
+    """struct(unit, residual, unique) of the first of ``ranked`` candidates; null stays null."""
+    best, second = F.get(order, F.lit(0)), F.get(order, F.lit(1))
+    return F.when(order.isNotNull(), F.struct(best["unit"].alias("unit"), best["residual"].alias("residual"), (second["residual"] - best["residual"] > TOLERANCE).alias("unique")))
 
 
 def converted(values: Column, unit: Column, units: Sequence[Unit]) -> Column:
@@ -152,16 +156,17 @@ def resolve_spectra(df: DataFrame, x: str = "xdata", y: str = "ydata", xunit: st
     x_said = F.coalesce(stated(F.col(xunit), WAVELENGTH), stated(phrase(F.col(remark), per), WAVELENGTH), stated(phrase(F.col(remark), on_axis), WAVELENGTH))
     of_values = r"(?:values:|stored as|data:|data in|y:|y is|ordinate(?: in)?)|(?=(?:reflect|transm|emis|absorp)[a-zé]* (?:in |given |multiplied|as |between|on a |scaled|times))"
     y_said = F.coalesce(stated(F.col(yunit), FRACTION), stated(phrase(F.col(remark), of_values), FRACTION))
-    said = {n: fresh(df, f"__{n}") for n in ("x_said", "y_said")}
-    work = evaluated_once(df, {said["x_said"]: x_said, said["y_said"]: y_said})
-    xs, ys = F.col(said["x_said"]), F.col(said["y_said"])
-    return evaluated_once(
+    tmp = {n: fresh(df, f"__{n}") for n in ("x_said", "y_said", "top", "x_order", "y_order")}
+    at = {k: F.col(f"`{v}`") for k, v in tmp.items()}
+    work = evaluated_once(df, {tmp["x_said"]: x_said, tmp["y_said"]: y_said, tmp["top"]: largest(F.col(y))})
+    work = evaluated_once(
         work,
         {
-            "x_unit": F.when(F.size(F.col(x)) > 0, choose(axis_residuals(F.col(x), xs))),
-            "y_unit": F.when(F.size(F.col(y)) > 0, choose(share_residuals(F.col(y), ys))),
+            tmp["x_order"]: F.when(F.size(F.col(x)) > 0, ranked(axis_residuals(F.col(x), at["x_said"]))),
+            tmp["y_order"]: F.when(F.size(F.col(y)) > 0, ranked(share_residuals(at["top"], at["y_said"]))),
         },
-    ).drop(*said.values())
+    )
+    return evaluated_once(work, {"x_unit": choose(at["x_order"]), "y_unit": choose(at["y_order"])}).drop(*tmp.values())
 
 
 def resolve_instruments(
@@ -221,10 +226,8 @@ def resolve_instruments(
         with_width = F.coalesce(log(u_w, step), F.lit(0.0)) + F.coalesce(log(u_w, ref_w["w"]), F.lit(0.0)) * 0.5
         return F.struct(F.round(c["residual"] + F.when(is_axis, with_axis).otherwise(with_width), 6).alias("residual"), c["unit"].alias("unit"))
 
-    ranked = F.array_sort(F.transform(cand, agree))
-    top, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
-    chosen = F.when(cand.isNotNull(), F.struct(top["unit"].alias("unit"), top["residual"].alias("residual"), (second["residual"] - top["residual"] > TOLERANCE).alias("unique")))
-    return work.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != "x_unit"], chosen.alias("x_unit"))
+    order = F.array_sort(F.transform(cand, agree))
+    return work.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != "x_unit"], choose(order).alias("x_unit"))
 
 
 #: In a description the kind of array ("Wavenumber VLTR4 ...") comes first and is no unit, so only what follows counts.

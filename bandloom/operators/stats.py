@@ -98,14 +98,13 @@ def class_stats(pixels: DataFrame, by: str | None = None, spectrum: str = "spect
             x, _ = kernels.matrix(b, "x")
             if not len(x):
                 continue
-            if not allow_nan and np.isnan(x).any():
-                raise ValueError("NaN among the spectra; pass allow_nan to go on")
             k = b.column("key").to_numpy()
             for c in np.unique(k):
                 y = x[k == c]
                 m = y.mean(0)
                 z = y - m
-                new = (len(y), m, z.T @ z)
+                # A count of NaN tells the driver of NaN among the spectra.
+                new = (len(y) if allow_nan or not np.isnan(m).any() else np.nan, m, z.T @ z)
                 acc[int(c)] = merge(acc[int(c)], new) if int(c) in acc else new
         part = TaskContext.get().partitionId() % FAN_IN
         yield _pack([(c, part, *v) for c, v in acc.items()])
@@ -122,6 +121,8 @@ def class_stats(pixels: DataFrame, by: str | None = None, spectrum: str = "spect
     for r in merged.to_pylist():
         new = (r["n"], np.array(r["mean"]), np.array(r["m2"]).reshape(len(r["mean"]), -1))
         out[r["key"]] = merge(out[r["key"]], new) if r["key"] in out else new
+    if any(np.isnan(n) for n, _, _ in out.values()):
+        raise ValueError("NaN among the spectra; pass allow_nan to go on")
     return {c: GaussianStats(m, s / (n - 1) if n > 1 else np.full_like(s, np.nan), int(n)) for c, (n, m, s) in sorted(out.items())}
 
 

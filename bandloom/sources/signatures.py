@@ -101,8 +101,8 @@ def _parser(fn: Callable[[str, str], dict], columns: list[str]) -> Callable:
 
 
 def _texts(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    r = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-    return r.text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    r = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    return r.text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
 
 
 def read_signatures(spark: SparkSession, folder: str, layout: str = "keyed") -> DataFrame:

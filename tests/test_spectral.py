@@ -1,0 +1,158 @@
+import math
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from bandloom.operators import curves, iterate, linear, pixels as px, render, score, spatial, stats
+from bandloom.plans import core, spectral_queries as q
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings samples spectra spectra_raw usgs_samples usgs_spectrometer".split()
+
+
+def _plain(rows):
+    return sorted((tuple(round(v, 6) + 0.0 if isinstance(v, float) else v for v in r) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("name", sorted({**q.ORACLES, **core.ORACLES}))
+def test_same_rows_as_sql(spark, sf, name):
+    if name.startswith("window"):
+        sf = sf.replace("0.001", "0.01")  # the smallest image is lower than the windows
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = {**q.QUERIES, **core.QUERIES}[name](spark, sf)
+    cols = sorted(df.columns)
+    want = con.sql({**q.ORACLES, **core.ORACLES}[name])
+    assert sorted(want.columns) == cols
+    assert _plain(map(tuple, df.select(*cols).collect())) == _plain(want.project(", ".join(cols)).fetchall())
+
+
+def image(spark, x):
+    r, c, _ = x.shape
+    return spark.createDataFrame([(i, j, x[i, j].tolist()) for i in range(r) for j in range(c)], "row int, col int, spectrum array<double>")
+
+
+@pytest.fixture(scope="module")
+def cube():
+    return np.random.default_rng(1).random((8, 9, 4))
+
+
+def test_statistics(spark, cube):
+    s = stats.calc_stats(image(spark, cube).repartition(3))
+    flat = cube.reshape(-1, 4)
+    assert np.allclose(s.mean, flat.mean(0)) and np.allclose(s.cov, np.cov(flat.T)) and s.nsamples == 72
+    assert np.allclose(s.sqrt_cov @ s.sqrt_cov, s.cov) and np.allclose(s.sqrt_inv_cov @ s.sqrt_inv_cov, s.inv_cov)
+    white = stats.calc_stats(s.whitening().apply(image(spark, cube)))
+    assert np.allclose(white.cov, np.eye(4), atol=1e-8)
+    with pytest.raises(ValueError):
+        stats.calc_stats(image(spark, np.full((2, 2, 2), np.nan)))
+    with pytest.raises(ValueError):
+        stats.calc_stats(image(spark, cube).limit(0))
+
+
+def test_detectors(spark, cube):
+    s = stats.calc_stats(image(spark, cube))
+    t = cube[2, 3]
+    two = spark.createDataFrame([(0, s.mean.tolist()), (1, t.tolist()), (2, None)], "id int, spectrum array<double>")
+    mf = {r["id"]: r["mf"] for r in score.matched_filter(two, t, s).collect()}
+    assert abs(mf[0]) < 1e-9 and abs(mf[1] - 1) < 1e-9 and mf[2] is None
+    a = {r["id"]: r["ace"] for r in score.ace(two, [t, cube[:2, 0]], s).collect()}
+    assert a[0] == [0.0, 0.0] and abs(a[1][0] - 1) < 1e-9
+
+
+def test_transforms(spark, cube):
+    x = np.random.default_rng(2).random(4)
+    a, b = linear.LinearTransform(np.ones((2, 4)), pre=x, post=1.0), linear.LinearTransform(3.0, post=np.arange(4.0))
+    assert np.allclose(a.chain(b)(x), a(b(x))) and np.allclose(b.chain(linear.LinearTransform(2.0))(x), b(2 * x))
+    s = stats.calc_stats(image(spark, cube))
+    pc = linear.principal_components(s)
+    assert np.all(np.diff(pc.eigenvalues) <= 0) and np.allclose(pc.eigenvectors.T @ pc.eigenvectors, np.eye(4))
+    assert len(pc.reduce(fraction=1.0).eigenvalues) == 4
+    mnf = linear.MinimumNoiseFraction(s, stats.noise_from_diffs(image(spark, cube)))
+    assert np.allclose(mnf.denoising(num=4)(cube[0]), cube[0])
+    o = linear.orthogonalize(np.random.default_rng(3).random((3, 6)))
+    assert np.allclose(o @ o.T, np.eye(3))
+
+
+def test_discriminant_whitens(spark, cube):
+    df = image(spark, cube).withColumn("class_id", (F.col("col") % 3 + 1).cast("int"))
+    c = stats.class_stats(df, "class_id")
+    lda = linear.linear_discriminant(c)
+    assert len(lda.eigenvalues) == 2 and np.allclose(np.diag(lda.eigenvectors.T @ lda.cov_w @ lda.eigenvectors), 1)
+    got = score.GaussianClassifier(c, min_samples=2)
+    assert all(got.best(s.mean[None])[0] in c for s in c.values())
+    assert set(stats.load_training(spark, _saved(spark, c))) == set(c)
+
+
+def _saved(spark, c):
+    import tempfile
+
+    path = tempfile.mkdtemp() + "/classes"
+    stats.save_training(c, spark, path)
+    return path
+
+
+def test_smacc_golden(spark):
+    h = [[1, 1, 0], [0, 1, 1], [1, 0, 0], [0.5, 0.5, 0]]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(h)], "id long, spectrum array<double>")
+    keys, out = iterate.smacc(df, "id")
+    rows = {r["key"]: r for r in out.collect()}
+    s = np.array([h[k] for k in keys])
+    for i, r in enumerate(h):
+        assert np.allclose(np.array(rows[i]["abundances"]) @ s + rows[i]["residual"], r, atol=1e-9)
+    assert sorted(keys) == [0, 1, 2]
+
+
+def test_purity_goes_on(spark, cube):
+    df = image(spark, cube)
+    a = iterate.purity(df, 20, seed=1)
+    both = iterate.purity(df, 20, seed=2, start=a)
+    assert a.agg(F.sum("purity")).first()[0] == 40 and both.agg(F.sum("purity")).first()[0] == 80
+
+
+def test_kmeans_and_perceptron(spark):
+    x = np.concatenate([np.zeros((5, 2)), np.ones((5, 2)) * 9]).reshape(2, 5, 2)
+    out, centers = iterate.kmeans(image(spark, x), 2)
+    assert np.allclose(sorted(centers[:, 0]), [0, 9]) and out.groupBy("cluster").count().count() == 2
+    net = iterate.Perceptron([2, 3, 1], seed=4)
+    assert net.train([[0, 0], [0, 1], [1, 0], [1, 1]], [0, 1, 1, 0], rate=0.5, momentum=0.9, max_iterations=8000) == 100.0
+
+
+def test_window_bounds():
+    assert [int(v) for v in (*spatial.window_bounds(90, 3, 30), *spatial.window_bounds(90, 7, 40))] == [29, 32, 37, 44]
+    assert [int(v) for v in (*spatial.window_bounds(90, 3, 0), *spatial.window_bounds(90, 7, 2))] == [0, 3, 0, 7]
+    assert [int(v) for v in (*spatial.window_bounds(90, 3, 0, True), *spatial.window_bounds(90, 7, 2, True))] == [0, 2, 0, 6]
+
+
+def test_windowed_ace_bounds(spark, cube):
+    got = spatial.windowed(image(spark, cube), "ace", 1, 5, (8, 9), target=cube[0, 0])
+    assert got.count() == 72 and got.where("score < 0 or score > 1").count() == 0
+
+
+def test_continuum(spark):
+    y = np.array([1.0, 3.0, 2.0, 2.5, 4.0, 1.0])
+    assert curves.points(y, range(6)) == [0, 1, 4, 5]
+    df = spark.createDataFrame([(y.tolist(),), (None,)], "spectrum array<double>")
+    got = [r[0] for r in curves.remove_continuum(df, range(6)).select("removed").collect()]
+    assert max(got[0]) == pytest.approx(1.0) and got[0][1] == pytest.approx(1.0) and got[1] is None
+
+
+def test_resampling():
+    m = curves.resampling_matrix(np.arange(10.0), [3.0, 50.0])
+    assert m[0].sum() == pytest.approx(1) and math.isnan(m[1, 0])
+
+
+def test_class_matching_and_rendering(spark):
+    a = spark.createDataFrame([(0, 0, 1), (0, 1, 1), (0, 2, 2), (0, 3, 0)], "row int, col int, class_id int")
+    b = spark.createDataFrame([(0, 0, 7), (0, 1, 7), (0, 2, 7), (0, 3, 0)], "row int, col int, class_id int")
+    assert px.match_classes(a, b) == {0: 0, 1: 7, 2: 1}
+    with pytest.raises(ValueError):
+        px.recode(a, {1: 2})
+    _, n = px.label_region(a, (0, 1), (0, 2), 5)
+    assert n == 2
+    scale = render.ColorScale([0, 1], [(0, 0, 0), (255, 255, 255)], 3)
+    assert scale(-1) == (0, 0, 0) and scale(1) == (255, 255, 255)
+    one = spark.createDataFrame([(0, 0, [1.0]), (0, 1, [1.0])], "row int, col int, spectrum array<double>")
+    assert [r["r"] for r in render.get_rgb(one, [0]).collect()] == [0.0, 0.0]

@@ -7,6 +7,9 @@ bound each cosine from both sides. Pairs whose upper bound can't reach the k bes
 lower bounds are dropped, the rest are recomputed from 16-bit codes, the best k
 of each row leave the block, and their cosines are recomputed in float from the
 vectors themselves before the heaps of all blocks are merged.
+
+Where no similarity is too low, near and far vectors alike have neighbours, which
+hyperplanes would often part: there all pairs are compared, in double.
 """
 
 from __future__ import annotations
@@ -121,15 +124,19 @@ def nearest(
     ``min_similarity`` less similar neighbours are left out, and found faster.
     An empty table gives an empty result; other columns are ignored.
 
-    Neighbours meet in at least one of ``tables`` buckets with a probability that
-    falls with their angle; tests hold the recall against brute force. Buckets
-    grow in number with the table, so work and shuffle grow in proportion to it.
+    Without ``min_similarity`` the result is exact: all pairs of a group are
+    compared, so work grows with the square of the rows, and ``tables`` and
+    ``block`` count for nothing. With it, neighbours meet in at least one of
+    ``tables`` buckets with a probability that falls with their angle; tests hold
+    the recall against brute force. Buckets grow in number with the table, so work
+    and shuffle grow in proportion to it.
     """
-    least = -1.0 if min_similarity is None else min_similarity
     g = F.lit(0).cast("long") if group is None else F.col(f"`{group}`").cast("long")
     v = F.col(f"`{vector}`")
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), g.alias("grp"), v.cast("array<float>").alias("vec")).where("id is not null and grp is not null and size(vec) > 0")
     src = src.where(~F.exists("vec", lambda e: e.isNull() | F.isnan(e)))
+    if min_similarity is None:
+        return _ranked(_of_all_pairs(src, k), k)
     sizes = src.select("grp").groupBy("grp").agg(F.count("*").alias("n")).withColumn("bits", F.greatest(F.lit(0), F.least(F.lit(32), F.ceil(F.log2(F.col("n") / block)))).cast("int")).select("grp", "bits")
     sizes = cut(sizes)
     coded = src.join(F.broadcast(sizes) if fits(sizes, 16) else sizes, "grp").select("id", "grp", "bits", "vec").mapInArrow(_code(tables), _CODED)
@@ -144,23 +151,71 @@ def nearest(
         order = np.lexsort((ids, side))
         ids, side, raw = ids[order], side[order], raw[order]
         if (side == 2).any():
-            whole = best_in_block(ids, raw, ids, raw, k, least)
+            whole = best_in_block(ids, raw, ids, raw, k, min_similarity)
             pairs = [whole]
         else:
             one, two = side == 0, side == 1
-            pairs = [best_in_block(ids[one], raw[one], ids[two], raw[two], k, least), best_in_block(ids[two], raw[two], ids[one], raw[one], k, least)] if one.any() and two.any() else []
+            pairs = [best_in_block(ids[one], raw[one], ids[two], raw[two], k, min_similarity), best_in_block(ids[two], raw[two], ids[one], raw[one], k, min_similarity)] if one.any() and two.any() else []
         a = np.concatenate([np.empty(0, np.int64), *[p[0] for p in pairs]])
         b = np.concatenate([np.empty(0, np.int64), *[p[1] for p in pairs]])
         return pa.table({"id": pa.array(a), "neighbour": pa.array(b)})
 
     near = cut(blocks.groupBy("bucket", "lo", "hi").applyInArrow(kernel, "id long, neighbour long").distinct())
-    measured = _in_float(src.drop("grp"), near)
-    if min_similarity is not None:
-        measured = measured.where(F.col("similarity") >= min_similarity)
+    return _ranked(_in_float(src.drop("grp"), near).where(F.col("similarity") >= min_similarity), k)
+
+
+def _ranked(measured: DataFrame, k: int) -> DataFrame:
     heap = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     return measured.withColumn("rank", F.row_number().over(heap)).where(F.col("rank") <= k)
 
 
+def best_of_all(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, their neighbours, cosines): for each id of ``a`` the k ids of ``b`` with the greatest cosine of unit rows sorted by id; ties go to the smaller id."""
+    (own, at_a), (others, at_b) = (np.unique(i, return_index=True) for i in (ids_a, ids_b))
+    out: list[list[np.ndarray]] = [[], [], []]
+    step = 512
+    for s in range(0, len(own), step):
+        rows = slice(at_a[s], at_a[s + step] if s + step < len(own) else len(ids_a))
+        cos = a[rows] @ b.T
+        # Of rows that repeat an id, the most similar counts.
+        if len(others) < len(ids_b):
+            cos = np.maximum.reduceat(cos, at_b, axis=1)
+        if len(cos) > len(own[s : s + step]):
+            cos = np.maximum.reduceat(cos, at_a[s : s + step] - at_a[s], axis=0)
+        # Equal vectors may differ in the last bits of a matrix product.
+        cos = np.round(np.clip(cos, -1, 1), 12)
+        cos[own[s : s + step, None] == others[None, :]] = -2
+        if len(others) > k:
+            i, j = np.nonzero(cos >= np.maximum(np.partition(cos, len(others) - k, axis=1)[:, len(others) - k, None], -1))
+        else:
+            i, j = np.nonzero(cos >= -1)
+        order = np.lexsort((j, -cos[i, j], i))
+        i, j = i[order], j[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+        for o, x in zip(out, (own[s : s + step][i[best]], others[j[best]], cos[i[best], j[best]]), strict=True):
+            o.append(x)
+    return tuple(np.concatenate(o) if o else np.empty(0, t) for o, t in zip(out, (np.int64, np.int64, np.float64), strict=True))
+
+
+def _of_all_pairs(src: DataFrame, k: int) -> DataFrame:
+    """(id, neighbour, similarity): all pairs of each group and length compared in double, the k best of each row and block kept."""
+    blocks = _blocks(src.select(F.xxhash64("grp", F.size("vec")).alias("bucket"), "id", F.col("vec").alias("code")).distinct())
+
+    def kernel(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
+        x = t.column("code").chunk(0).flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
+        norm = np.linalg.norm(x, axis=1)
+        at = np.flatnonzero(np.isfinite(norm) & (norm > 0))
+        at = at[np.argsort(ids[at], kind="stable")]
+        ids, side, x = ids[at], side[at], x[at] / norm[at, None]
+        one, two = side != 1, side != 0
+        got = [best_of_all(ids[p], x[p], ids[q], x[q], k) for p, q in ([(one, two)] if (side == 2).any() else [(one, two), (two, one)])]
+        return pa.table({c: np.concatenate(v) for c, v in zip(("id", "neighbour", "similarity"), zip(*got, strict=True), strict=True)})
+
+    return cut(blocks.groupBy("bucket", "lo", "hi").applyInArrow(kernel, "id long, neighbour long, similarity double"))
+
+
 def _blocks(coded: DataFrame) -> DataFrame:
     """Each bucket as one block (lo = hi, side 2), a large one as all pairs of its parts (sides 0 and 1)."""
     coded = coded.select("bucket", "id", "code")

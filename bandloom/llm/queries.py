@@ -50,8 +50,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest of every embedding, whatever their similarity."""
-    near = neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", tables=16, block=256)
+    """The five nearest of every embedding, whatever their similarity: exact, from all pairs."""
+    near = neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return near.select("id", "neighbour", F.round("similarity", 4).alias("similarity"), "rank")
 
 

@@ -65,6 +65,23 @@ def test_nearest_recall(spark):
     assert len(exact & brute(x[:300], 4)) / 1200 >= 0.99
 
 
+def test_nearest_of_far_vectors_is_exact(spark, monkeypatch):
+    """Without a least similarity even far neighbours count: none is lost, whatever the buckets; repeated ids count once."""
+    monkeypatch.setattr(neighbours, "PART", 400)
+    x = np.random.default_rng(8).normal(size=(2000, 64)).astype(np.float32)
+    df = vectors(spark, x)
+    rows = neighbours.nearest(df.unionByName(df.limit(50)), "vid", "v", k=5, tables=16, block=16).collect()
+    assert len(rows) == 10000 and {(r["id"], r["neighbour"]) for r in rows} == brute(x.astype(np.float64), 5)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert all(abs(r["similarity"] - u[r["id"]] @ u[r["neighbour"]]) < 1e-5 for r in rows)
+
+
+def test_nearest_of_an_id_with_two_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [1.0, 0.5])], "vid long, v array<float>")
+    got = [(r["id"], r["neighbour"]) for r in neighbours.nearest(df, "vid", "v", k=2).orderBy("id", "rank").collect()]
+    assert got == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 2), (3, 1)]
+
+
 def test_block_bounds_are_safe():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 20)).astype(np.float32)

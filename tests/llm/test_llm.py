@@ -211,6 +211,27 @@ def test_matching(spark):
     assert all(0 <= r["confidence"] <= 1 for r in rows)
 
 
+def test_matches_do_not_depend_on_the_number_of_neighbours(spark):
+    """A lot of 60 look-alikes in each catalogue, and misspelt places without a number: with one neighbour each, all are found."""
+    cols = "key long, name string, num string, origin string"
+    a = [(i, "fresh pink granite", f"ABC-{100000 + i * 37}", "Veldhaven Quarry, Norvania") for i in range(60)]
+    b = [(1000 + i, "GRANITE (FRESH, PINK)", f"{100000 + i * 37}abc", "near Veldhaven") for i in range(60)]
+    lone = ["Xarbelquist", "Ombrestrand", "Wuthergonel", "Pliskadrome"]
+    a += [(200 + i, "fresh pink granite", f"DEF-{300000 + i}", f"{w} Quarry, Norvania") for i, w in enumerate(lone)]
+    b += [(1200 + i, "granite, pink", None, f"{w[0]}{w[2]}{w[1]}{w[3:]}") for i, w in enumerate(lone)]
+    m = matching.match(spark.createDataFrame(a, cols), spark.createDataFrame(b, cols), "key", "name", "num", "origin", neighbours=1, tables=2).cache()
+    assert m.count() == m.select("key_a", "key_b").distinct().count()
+    assert {(r["key_a"], r["key_b"]) for r in m.where("agrees").collect()} == {(i, 1000 + i) for i in [*range(60), *range(200, 204)]}
+
+
+@pytest.mark.parametrize(("x", "y", "want"), [("veldhaven", "vledhaven", True), ("veldhaven", "veld", True), ("veld", "veldhaven", True), ("veldhaven", "eldhavn", True), ("veldhaven", "tirmoor", False), ("ab" * 40, "b" + "ab" * 38 + "b", True), ("abcdefghijklmnopqrstuvwxyzabcd", "bcdefghijklmnopqrstuvwxyzabcde", True)])
+def test_words_that_are_alike_share_a_key(x, y, want):
+    import pandas as pd
+
+    k = [set(next(matching._word_keys(iter([pd.DataFrame({"word": [w], "side": [s]})])))["k"]) for s, w in enumerate((x, y))]
+    assert bool(k[0] & k[1]) == want
+
+
 def test_queries_have_columns(spark, sf):
     want = {"p3_found": ["tab", "recordid", "field", "termid"], "p4_found": ["spectrumid_a", "spectrumid_b"], "p6_found": ["tab", "sampleid", "field"], "p7_found": ["item_id", "doc_id"], "p9_found": ["doc_id"]}
     for name, cols in want.items():

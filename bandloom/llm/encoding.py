@@ -10,6 +10,7 @@ other texts, as long as the outcome is made of characters that clean text has.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -137,18 +138,25 @@ def _odd(word: str, alphabet: frozenset[str]) -> bool:
     return False
 
 
+def _usual(c: str) -> bool:
+    """A letter or sign of Latin, Greek or Cyrillic text; a capital before a closing quote reads as a rarer one."""
+    return unicodedata.category(c) not in ("Cn", "Cc", "Co") and (0xA0 <= ord(c) < 0x250 or 0x370 <= ord(c) < 0x460 or 0x1E00 <= ord(c) < 0x2300)
+
+
 class Mender:
-    """Undoes learned confusions; ``alphabet`` are the characters beyond ASCII of clean words."""
+    """Undoes learned confusions; ``alphabet`` are the characters beyond ASCII of clean words, ``symbols`` those that stand alone or among figures."""
 
-    def __init__(self, chains: list[str], alphabet: frozenset[str]):
+    def __init__(self, chains: list[str], alphabet: frozenset[str], symbols: frozenset[str] = frozenset()):
         steps = {s for c in chains for s in c.split("|")}
         self.multi = [w for r, w in CONFUSIONS if r == "utf-8" and f"{r}>{w}" in steps]
         self.single = [(r, w) for r, w in CONFUSIONS if r != "utf-8" and f"{r}>{w}" in steps]
         self.alphabet = alphabet
+        self.allowed = alphabet | symbols
         # Inner garbling of text garbled twice is made of these.
-        self.inner = alphabet | frozenset(c for w in self.multi for c in _decode_table(w).values() if not c.isascii())
+        self.inner = self.allowed | frozenset(c for w in self.multi for c in _decode_table(w).values() if not c.isascii())
 
-    def _undo(self, text: str, wrong: str, allowed: frozenset[str]) -> tuple[str, int]:
+    def _undo(self, text: str, wrong: str, allowed: frozenset[str], wide: bool = False) -> tuple[str, int]:
+        """``wide``: to characters of the usual scripts too, allowed or not."""
         codes, n = _encode_table(wrong), 0
 
         def one(m: re.Match[str]) -> str:
@@ -157,13 +165,26 @@ class Mender:
                 c = bytes(codes[x] for x in m[0]).decode("utf-8")
             except (UnicodeDecodeError, KeyError):
                 return m[0]
-            if c not in allowed:
+            if c not in allowed and not (wide and _usual(c)):
                 return m[0]
             n += 1
             return c
 
         return _multibyte(wrong).sub(one, text), n
 
+    def reversible(self, text: str) -> bool:
+        """Whether ``text`` holds a sequence that strictly reads as another character, other than letters of one script side by side."""
+        for wrong in self.multi:
+            for m in _multibyte(wrong).finditer(text):
+                one_script = m[0].isalpha() and len({_script(x) for x in m[0]}) == 1
+                if not one_script and self._undo(m[0], wrong, frozenset(), wide=True)[1]:
+                    return True
+        return False
+
+    def whole(self, text: str) -> bool:
+        """Whether nothing in ``text`` is lost or still garbled."""
+        return not (_LOST.search(text) or self.reversible(text) or any(self._undo(text, w, self.allowed)[1] for w in self.multi) or any(_mixed(w) for w in text.split()))
+
     def _left(self, text: str) -> int:
         """How much in ``text`` still looks garbled."""
         words = [w for w in text.split() if _BEYOND.search(w)]
@@ -187,14 +208,15 @@ class Mender:
         """(whether it is garbled, the text as far as it can be restored)."""
         once, found = text, False
         for wrong in self.multi:
-            undone, n = self._undo(once, wrong, self.alphabet)
+            n = self._undo(once, wrong, self.allowed)[1]
             if n:
-                found, once = True, undone
+                # A text that shows the confusion holds it elsewhere too, for whatever characters.
+                found, once = True, self._undo(once, wrong, self.allowed, wide=True)[0]
         now, left = once, self._left(once)
         for wrong in self.multi if left or not found else ():
             inner, n = self._undo(text, wrong, self.inner)
             for again in self.multi if n else ():
-                twice, m = self._undo(inner, again, self.alphabet)
+                twice, m = self._undo(inner, again, self.allowed)
                 if m and (not found or self._left(twice) < left):
                     found, now, left = True, twice, self._left(twice)
         if not found and not _LOST.search(text):
@@ -220,7 +242,7 @@ def find_garbled(texts: DataFrame, keys: list[str], text: str = "text", min_word
 
     ``min_words`` different words must show a confusion before it is undone
     elsewhere. ``restorable`` is false where characters were lost and no clean
-    twin tells them; ``restored`` then holds what could be mended. Null and empty
+    twin tells them, or a garbled sequence is left; ``restored`` then holds what could be mended. Null and empty
     texts and texts of ASCII only are never garbled. Rows that repeat count once,
     other columns are ignored, an empty table gives an empty result.
     """
@@ -247,7 +269,16 @@ def find_garbled(texts: DataFrame, keys: list[str], text: str = "text", min_word
         .join(used.select(F.explode(F.array_distinct(F.split(F.regexp_replace("seen", r"[\x00-\x7F]", ""), ""))).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("seen")), "c", "left")
     )
     alphabet = frozenset(r["c"] for r in chars.where("clean >= 5 and clean > 4 * coalesce(seen, 0)").select("c").collect())
-    mender = Mender(chains, alphabet)
+    # Characters that never stand in words of letters: dashes, signs. At most as many rows as Unicode has characters.
+    plain = Mender(chains, alphabet)
+
+    def lone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(c, n) for bare, n in zip(b["bare"], b["n"], strict=True) if not plain.reversible(bare) for c in set(_BEYOND.findall(bare)) if not c.isalpha() and not "\u2500" <= c <= "\u25ff"]
+            yield pd.DataFrame(rows, columns=["c", "clean"])
+
+    signs = forms.where(sound).mapInPandas(lone, "c string, clean long").groupBy("c").agg(F.sum("clean").alias("clean")).where("clean >= 5")
+    mender = Mender(chains, alphabet, frozenset(r["c"] for r in signs.collect()))
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -264,4 +295,11 @@ def find_garbled(texts: DataFrame, keys: list[str], text: str = "text", min_word
     by_twin = words.join(maybe_broadcast(explained, 256), "bare").groupBy(*keys).agg(F.min(F.struct("bare", "twin")).alias("swap"))
     both = by_rule.join(by_twin, keys, "left").where("garbled or swap is not null")
     restored = F.when(F.col("garbled"), F.col("restored")).otherwise(F.replace(F.col("text"), F.col("swap.bare"), F.col("swap.twin")))
-    return both.select(*keys, "text", restored.alias("restored"), (~F.regexp_like(restored, F.lit(r"[\x{80}-\x{9F}\x{FFFD}]"))).alias("restorable"))
+    done = both.select(*keys, "text", restored.alias("restored"))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["restorable"] = [mender.whole(t) for t in b["restored"]]
+            yield b
+
+    return done.mapInPandas(judge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in done.schema) + ", restorable boolean")

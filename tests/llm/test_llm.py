@@ -123,6 +123,18 @@ def test_garbled(spark):
     assert encoding.find_garbled(spark.createDataFrame([], "k long, text string"), ["k"]).count() == 0
 
 
+def test_garbled_signs_that_stand_alone(spark):
+    clean = ["método", "Größe", "pequeña", "région", "très", "prélevé"]
+    rows = [(i, f"word {w} here") for i, w in enumerate(clean * 8)] + [(100 + i, f"{i} – {i}, № {i}, 63–{i}") for i in range(8)]
+    rows += [(1000 + i, f"word {encoding.garble(w, 'utf-8', 'cp1252')} here") for i, w in enumerate(clean)]
+    rows += [(2000 + i, f"plain {encoding.garble(w, 'utf-8', 'cp1252')} end") for i, w in enumerate(["–", "63–150", "№"])] + [(3000, f"word {encoding.garble('très ‰', 'utf-8', 'cp1252')}"), (3001, "word \ufffd end")]
+    got = {r["k"]: (r["restored"], r["restorable"]) for r in encoding.find_garbled(spark.createDataFrame(rows, "k long, text string"), ["k"]).collect()}
+    assert {k: v for k, v in got.items() if k >= 2000} == {2000: ("plain – end", True), 2001: ("plain 63–150 end", True), 2002: ("plain № end", True), 3000: ("word très ‰", True), 3001: ("word \ufffd end", False)}
+    mender = encoding.Mender(["utf-8>cp1252"], frozenset("éè"), frozenset("–"))
+    assert not mender.whole("word " + encoding.garble("‰", "utf-8", "cp1252")) and mender.whole("très – clean")
+    assert len(got) == 11
+
+
 # --- leaks ------------------------------------------------------------------------
 
 

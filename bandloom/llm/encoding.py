@@ -9,6 +9,7 @@ other texts, as long as the outcome is made of characters that clean text has.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -143,6 +144,18 @@ def _usual(c: str) -> bool:
     return unicodedata.category(c) not in ("Cn", "Cc", "Co") and (0xA0 <= ord(c) < 0x250 or 0x370 <= ord(c) < 0x460 or 0x1E00 <= ord(c) < 0x2300)
 
 
+def _swapped(word: str, twins: dict[str, str]) -> str:
+    bare = re.sub(r"[.,;:()\[\]\"']+$|^[(\[\"']+", "", word)
+    return word.replace(bare, twins[bare], 1) if bare in twins else word
+
+
+def _fits(lost: str, twin: str) -> bool:
+    """Whether ``twin`` is ``lost`` with each run of characters that holds lost ones read as one character beyond ASCII, or up to as many."""
+    parts = re.split("([^\\x00-\\x7f]*\ufffd[^\\x00-\\x7f]*)", lost)
+    pattern = "".join(f"[^\\x00-\\x7f]{{1,{len(p)}}}" if i % 2 else re.escape(p) for i, p in enumerate(parts))
+    return re.fullmatch(pattern, twin) is not None
+
+
 class Mender:
     """Undoes learned confusions; ``alphabet`` are the characters beyond ASCII of clean words, ``symbols`` those that stand alone or among figures."""
 
@@ -288,18 +301,32 @@ def find_garbled(texts: DataFrame, keys: list[str], text: str = "text", min_word
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", garbled boolean, restored string"
     by_rule = kept.mapInPandas(mend, schema)
+    # Words with lost characters: of the frequent clean words of their skeleton just one may fit.
+    good = forms.where(sound & (F.col("n") >= min_words)).join(used.select(F.col("form").alias("bare")).distinct(), "bare", "left_anti")
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(lost, twin) for lost, twin in zip(b["lost"], b["twin"], strict=True) if _fits(lost, twin) and not mender.reversible(twin)]
+            yield pd.DataFrame(rows, columns=["bare", "twin"])
+
+    lost = forms.where(F.contains("bare", F.lit("\ufffd")) & F.regexp_like("skeleton", F.lit("[a-z].*[a-z]"))).select("skeleton", F.col("bare").alias("lost"))
+    fitting = lost.join(good.select("skeleton", F.col("bare").alias("twin")), "skeleton").mapInPandas(fit, "bare string, twin string")
+    told = fitting.groupBy("bare").agg(F.min("twin").alias("twin"), F.countDistinct("twin").alias("fits")).where("fits = 1").drop("fits")
     # Words that a clean twin and a learned confusion explain are garbled too, though nothing in them is odd.
     explained = used.select(F.col("form").alias("bare"), F.col("twin")).groupBy("bare").agg(F.min("twin").alias("twin"))
+    explained = cut(explained.unionByName(told))
     words = kept.select(*keys, F.explode(F.array_distinct(F.split(F.btrim("text"), r"\s+"))).alias("form")).where(F.regexp_like("form", F.lit(r"[^\x00-\x7F]")))
     words = words.withColumn("bare", F.regexp_replace("form", r"[.,;:()\[\]\"']+$|^[(\[\"']+", ""))
-    by_twin = words.join(maybe_broadcast(explained, 256), "bare").groupBy(*keys).agg(F.min(F.struct("bare", "twin")).alias("swap"))
-    both = by_rule.join(by_twin, keys, "left").where("garbled or swap is not null")
-    restored = F.when(F.col("garbled"), F.col("restored")).otherwise(F.replace(F.col("text"), F.col("swap.bare"), F.col("swap.twin")))
-    done = both.select(*keys, "text", restored.alias("restored"))
+    by_twin = words.join(maybe_broadcast(explained, 256), "bare").groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("bare", "twin"))).alias("swaps"))
+    both = by_rule.join(by_twin, keys, "left").where("garbled or swaps is not null").select(*keys, "text", F.when(F.col("garbled"), F.col("restored")).otherwise(F.col("text")).alias("restored"), F.to_json("swaps").alias("swaps"))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["restorable"] = [mender.whole(t) for t in b["restored"]]
-            yield b
-
-    return done.mapInPandas(judge, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in done.schema) + ", restorable boolean")
+            out = []
+            for text, swaps in zip(b["restored"], b["swaps"], strict=True):
+                twins = json.loads(swaps) if swaps else {}
+                out.append(re.sub(r"\S+", lambda m: _swapped(m[0], twins), text) if twins else text)
+            b["restored"], b["restorable"] = out, [mender.whole(t) for t in out]
+            yield b.drop(columns="swaps")
+
+    return both.mapInPandas(finish, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name != "swaps") + ", restorable boolean")

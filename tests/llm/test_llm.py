@@ -135,6 +135,14 @@ def test_garbled_signs_that_stand_alone(spark):
     assert len(got) == 11
 
 
+def test_lost_characters_told_by_a_clean_twin(spark):
+    """Only where one frequent twin fits; each of several words of a text."""
+    rows = [(i, f"word {w} here") for i, w in enumerate(["prélevé", "côte", "pâté", "pâtè"] * 8)]
+    rows += [(100, "see pr\ufffdlev\ufffd, (c\ufffd\ufffdte)."), (101, "a p\ufffdt\ufffd"), (102, "a x\ufffdyz")]
+    got = {r["k"]: (r["restored"], r["restorable"]) for r in encoding.find_garbled(spark.createDataFrame(rows, "k long, text string"), ["k"]).collect()}
+    assert got == {100: ("see prélevé, (côte).", True), 101: ("a p\ufffdt\ufffd", False), 102: ("a x\ufffdyz", False)}
+
+
 # --- leaks ------------------------------------------------------------------------
 
 

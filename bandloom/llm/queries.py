@@ -13,13 +13,12 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matched(spark, sf_dir).where("agrees").select(F.col("key_a").alias("sampleid_a"), F.col("key_b").alias("sampleid_b")).distinct()
+    return _matched(spark, sf_dir).select(F.col("key_a").alias("sampleid_a"), F.col("key_b").alias("sampleid_b")).distinct()
 
 
 def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matches with the cosine of their vectors and the confidence that it is calibrated to."""
-    m = _matched(spark, sf_dir).where("agrees")
-    return m.select(F.col("key_a").alias("sampleid_a"), F.col("key_b").alias("sampleid_b"), F.round("cosine", 4).alias("cosine"), F.round("confidence", 4).alias("confidence"))
+    return _matched(spark, sf_dir).select(F.col("key_a").alias("sampleid_a"), F.col("key_b").alias("sampleid_b"), F.round("cosine", 4).alias("cosine"), F.round("confidence", 4).alias("confidence"))
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,18 +26,30 @@ def hull(y: np.ndarray, bands: np.ndarray) -> list[int]:
 
 
 def _segmented(y: np.ndarray, bands: np.ndarray) -> list[int]:
-    """The hull, with local maxima that keep rising along the chord's slope between hull points more than 5 bands apart."""
+    """The hull, refined between hull points five or more bands apart.
+
+    There, local maxima are kept that rise from the lower end on, each above the
+    one kept before, and every stretch between kept ones gets a hull of its own.
+    A stretch of two bands before a kept maximum has none.
+    """
     base = hull(y, bands)
     out = set(base)
     for a, b in zip(base, base[1:], strict=False):
-        if b - a <= 5:
+        if b - a < 5:
             continue
         peaks = [i for i in range(a + 1, b) if y[i] >= y[i - 1] and y[i] >= y[i + 1]]
-        order, level = (peaks, y[a]) if y[b] >= y[a] else (peaks[::-1], y[b])
-        for i in order:
-            if y[i] >= level:
-                out.add(i)
+        rising = y[b] >= y[a]
+        kept, level = [], y[a] if rising else y[b]
+        for i in peaks if rising else peaks[::-1]:
+            if y[i] > level:
+                kept.append(i)
                 level = y[i]
+        if kept:
+            ends = [a, *sorted(kept), b]
+            for p, q in zip(ends, ends[1:], strict=False):
+                if q - p > 2 or q == b:
+                    out.update(p + k for k in hull(y[p : q + 1], bands[p : q + 1]))
+                out.add(q)
     return sorted(out)
 
 
@@ -54,7 +66,7 @@ def _continuum(x: np.ndarray, bands: np.ndarray, mode: str) -> np.ndarray:
     return out
 
 
-def spectral_continuum(pixels: DataFrame, bands: Sequence[float], mode: str = "convex", spectrum: str = "spectrum", out: str = "continuum") -> DataFrame:
+def continuum(pixels: DataFrame, bands: Sequence[float], mode: str = "convex", spectrum: str = "spectrum", out: str = "continuum") -> DataFrame:
     """The curve over each spectrum, in doubles; ``mode`` is convex or segmented. Bands must rise."""
     b = _checked(bands, mode)
     return kernels.append(pixels, spectrum, {out: "array<double>"}, lambda x: (_continuum(x, b, mode),))

@@ -36,26 +36,25 @@ def kmeans(pixels: DataFrame, nclusters: int = 10, max_iterations: int = 20, met
                 x, _ = kernels.matrix(b, "x")
                 if len(x):
                     k = distances(x, now, metric).argmin(1)
-                    moved += int((k != distances(x, old, metric).argmin(1)).sum()) if old is not None else len(x)
+                    moved += int((k != distances(x, old, metric).argmin(1)).sum()) if old is not None and compare is not None else 0
                     n += np.bincount(k, minlength=len(now))
-                    np.add.at(s, k, x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(now), dtype=np.int32)), pa.array(n), pa.array(s.tolist(), pa.list_(pa.float64())), pa.array([moved] + [0] * (len(now) - 1), pa.int64())], names=["k", "n", "s", "moved"])
-
-        part = pixels.select(F.col(spectrum).cast("array<double>").alias("x")).where("x is not null").mapInArrow(sums, "k int, n double, s array<double>, moved long")
-        long = part.select("k", F.posexplode("s").alias("band", "v")).groupBy("k", "band").agg(F.sum("v").alias("v")).collect()
-        head = part.groupBy("k").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved")).collect()
-        n = np.zeros(len(now))
-        for r in head:
-            n[r["k"]] = r["n"]
-        total = np.zeros_like(now)
-        for r in long:
-            total[r["k"], r["band"]] = r["v"]
-        changed = sum(r["moved"] for r in head)
-        new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], now)
+                    s += np.eye(len(now))[k].T @ x
+            # One row a cluster: its sums, then its count, then how many pixels moved (with the first cluster).
+            rows = np.column_stack([s, n, np.r_[moved, np.zeros(len(now) - 1)]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(now), dtype=np.int32)), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["k", "s"])
+
+        part = pixels.select(F.col(spectrum).cast("array<double>").alias("x")).where("x is not null").mapInArrow(sums, "k int, s array<double>")
+        width = now.shape[1] + 2
+        total = np.zeros((len(now), width))
+        for r in part.groupBy("k").agg(F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width)]).alias("s")).collect():  # a row a cluster
+            total[r["k"]] = r["s"]
+        n, moved = total[:, -2], int(total[:, -1].sum()) if old is not None else int(total[:, -2].sum())
+        new = np.where(n[:, None] > 0, total[:, :-2] / np.maximum(n, 1)[:, None], now)
         if frames is not None:
             frames.append(new.copy())
         before, centers = now, new
-        if changed == 0 or np.array_equal(new, now) or (compare is not None and compare(changed, int(n.sum()))):
+        # Centers that stay mean that no pixel would move.
+        if np.array_equal(new, now) or (compare is not None and (moved == 0 or compare(moved, int(n.sum())))):
             break
     return kernels.append(pixels, spectrum, {"cluster": "int"}, lambda x: (distances(x, centers, metric).argmin(1),)), centers
 
@@ -229,16 +228,20 @@ class Perceptron:
 
 
 class PerceptronClassifier:
-    """Classes of pixels by a perceptron with an output a class; trains on the first pixels of each, row by row."""
+    """Classes of pixels by a perceptron with an output a class."""
 
     def __init__(self, hidden: list[int], seed: int = 0):
         self.hidden, self.seed = hidden, seed
 
-    def train(self, labelled: DataFrame, per_class: int, **options: object) -> float:
+    def train(self, labelled: DataFrame, per_class: int = 0, **options: object) -> float:
+        """Trains on the first ``per_class`` pixels of each class, or on all labelled ones if it is 0: they must fit in the driver's memory."""
         from pyspark.sql import Window
 
-        rank = F.row_number().over(Window.partitionBy("class_id").orderBy("row", "col"))
-        sample = labelled.where("class_id <> 0").withColumn("rank", rank).where(F.col("rank") <= per_class).orderBy("class_id", "rank").collect()
+        chosen = labelled.where("class_id <> 0").select("class_id", "row", "col", "spectrum")
+        if per_class:
+            rank = F.row_number().over(Window.partitionBy("class_id").orderBy("row", "col"))
+            chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= per_class)
+        sample = chosen.orderBy("class_id", "row", "col").collect()
         self.ids = sorted({r["class_id"] for r in sample})
         x = np.array([r["spectrum"] for r in sample])
         y = np.array([[float(r["class_id"] == c) for c in self.ids] for r in sample])

@@ -111,25 +111,26 @@ def contingency(source: DataFrame, target: DataFrame) -> DataFrame:
     return a.join(b, ["row", "col"]).groupBy("source_id", "target_id").agg(F.count("*").alias("n"))
 
 
-def match_classes(source: DataFrame, target: DataFrame, unlabeled: int | None = None) -> dict[int, int]:
+def match_classes(source: DataFrame, target: DataFrame, unlabeled: int | Sequence[int] | None = None) -> dict[int, int]:
     """Ids of ``source`` paired with those of ``target`` by the greatest overlaps first; ties go to the smallest ids.
 
+    Pixels of an id in ``unlabeled`` (one or several) count in neither map, and such an id of ``source`` stays what it is.
+
     What overlaps nothing is paired in order with the ids left, then with the smallest unused ones.
     """
     rows = contingency(source, target).collect()  # pairs of class ids, not pixels
-    if unlabeled is not None:
-        rows = [r for r in rows if unlabeled not in (r["source_id"], r["target_id"])]
-    out: dict[int, int] = {}
+    bare = set() if unlabeled is None else {unlabeled} if isinstance(unlabeled, int) else set(unlabeled)
+    met, targets = {r["source_id"] for r in rows}, {r["target_id"] for r in rows}
+    rows = [r for r in rows if not bare & {r["source_id"], r["target_id"]}]
+    out: dict[int, int] = {i: i for i in sorted(bare & met)}
     for r in sorted(rows, key=lambda r: (-r["n"], r["source_id"], r["target_id"])):
         if r["source_id"] not in out and r["target_id"] not in out.values():
             out[r["source_id"]] = r["target_id"]
-    left = iter(sorted({r["target_id"] for r in rows} - set(out.values())))
-    for s in sorted({r["source_id"] for r in rows} - set(out)):
+    left = iter(sorted(targets - bare - set(out.values())))
+    for s in sorted(met - bare - set(out)):
         t = next(left, None)
-        used = set(out.values()) | ({unlabeled} if unlabeled is not None else set())
+        used = set(out.values()) | bare
         out[s] = t if t is not None else next(i for i in range(len(used) + 1) if i not in used)
-    if unlabeled is not None:
-        out[unlabeled] = unlabeled
     return out
 
 

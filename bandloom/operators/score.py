@@ -14,7 +14,7 @@ def _cosines(x: np.ndarray, m: np.ndarray) -> np.ndarray:
         return np.clip((x / np.linalg.norm(x, axis=1, keepdims=True)) @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T, -1, 1)
 
 
-def spectral_angles(pixels: DataFrame, members: np.ndarray, spectrum: str = "spectrum", out: str = "angles") -> DataFrame:
+def angles(pixels: DataFrame, members: np.ndarray, spectrum: str = "spectrum", out: str = "angles") -> DataFrame:
     """The angle in radians to each member; a zero spectrum has NaN."""
     m = np.atleast_2d(np.asarray(members, float))
     return kernels.append(pixels, spectrum, {out: "array<double>"}, lambda x: (np.arccos(_cosines(x, m)),))

@@ -150,9 +150,9 @@ def resolve_spectra(df: DataFrame, x: str = "xdata", y: str = "ydata", xunit: st
     shuffle is made; columns called x_unit or y_unit are replaced. An unreadable
     or null unit text counts as silence, and then the identities decide.
     """
-    on_axis = r"(?:x|abscissa|(?:scan |channel |spectral )?ax[ie]s|channel cent(?:re|er)s|wavelengths?|bands?)\s+(?:values?\s+)?(?:is|are|in|given in|given|per|as|stored in)"
+    on_axis = r"(?:x|abscissa|(?:[a-z]+ )?ax[ie]s|channel cent(?:re|er)s|wavelengths?|bands?)\s+(?:values?\s+)?(?:is|are|in|given in|given|per|as|stored in)"
     # "channel axis per cm": the unit starts with the preposition.
-    per = r"(?:x|abscissa|(?:scan |channel |spectral )?ax[ie]s|channel cent(?:re|er)s)(?=\s+per\s)"
+    per = r"(?:x|abscissa|(?:[a-z]+ )?ax[ie]s|channel cent(?:re|er)s)(?=\s+per\s)"
     x_said = F.coalesce(stated(F.col(xunit), WAVELENGTH), stated(phrase(F.col(remark), per), WAVELENGTH), stated(phrase(F.col(remark), on_axis), WAVELENGTH))
     of_values = r"(?:values:|stored as|data:|data in|y:|y is|ordinate(?: in)?)|(?=(?:reflect|transm|emis|absorp)[a-zé]* (?:in |given |multiplied|as |between|on a |scaled|times))"
     y_said = F.coalesce(stated(F.col(yunit), FRACTION), stated(phrase(F.col(remark), of_values), FRACTION))

@@ -98,3 +98,14 @@ j as (select rawid, shaped and regexp_full_match(nv, '[0-9]+') and regexp_full_m
 try_cast(nv as hugeint) as n, len(string_split_regex(trim(x, ' \t'), '[ \\t]+')) as nx, len(string_split_regex(trim(y, ' \t'), '[ \\t]+')) as ny from k)
 select distinct rawid from j where not (reads and coalesce(n, 0) >= 1 and n = nx and n = ny)"""
 ORACLES["p1_found"] = _P1
+_CELLS = f"""with r as (select distinct rawid, line from spectra_raw),
+c as (select rawid, line, line is null or (contains(line, '"') and not regexp_full_match(line, '(?s){_CELL}(?:,{_CELL})*')) as unsound, regexp_extract_all(line || ',', '(?s)({_CELL}),', 1) as raw from r),
+k as (select rawid, line, unsound, len(raw) as n, list_transform(raw, lambda x: case when x like '"%' then replace(x[2:-2], '""', '"') else x end) as cells from c),
+m as (select *, regexp_full_match(coalesce(cells[11], ''), '[0-9]+') as counted, regexp_full_match(coalesce(cells[12], ''), '[ \\t]*{_NUM}(?:[ \\t]+{_NUM})*[ \\t]*') as xs, regexp_full_match(coalesce(cells[13], ''), '[ \\t]*{_NUM}(?:[ \\t]+{_NUM})*[ \\t]*') as ys,
+string_split_regex(trim(coalesce(cells[12], ''), ' \t'), '[ \\t]+') as x, string_split_regex(trim(coalesce(cells[13], ''), ' \t'), '[ \\t]+') as y from k),
+w as (select *, case when counted then try_cast(cells[11] as hugeint) end as want from m),
+j as (select *, case when line is null then 'missing' when unsound then 'quoting' when n <> 13 then 'column_count' when coalesce(want, 0) < 1 then 'not_a_count: numvalues' when not xs then 'not_numbers: xdata' when not ys then 'not_numbers: ydata'
+when len(x) <> want then 'length_mismatch: xdata' when len(y) <> want then 'length_mismatch: ydata' end as reject_reason from w)"""
+ORACLES["p1_reasons"] = _CELLS + " select reject_reason, cast(count(*) as bigint) as n_records from (select distinct rawid, reject_reason from j where reject_reason is not null) group by reject_reason"
+ORACLES["p1_loaded"] = _CELLS + """ select distinct rawid, try_cast(trim(cells[1]) as bigint) as spectrumid, try_cast(trim(cells[2]) as bigint) as sampleid, cast(want as bigint) as numvalues, try_cast(trim(cells[9]) as double) as minwavelength, try_cast(trim(cells[10]) as double) as maxwavelength,
+cast(len(x) as bigint) as n_x, round(list_sum(list_transform(y, lambda v: cast(cast(v as float) as double))), 3) as sum_y from j where reject_reason is null"""

@@ -7,9 +7,9 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bandloom.common import table
+from bandloom.common import one_per_key, table
 from bandloom.functions import arrays
-from bandloom.operators import curves, iterate, linear, pixels as px, render, score, spatial, stats
+from bandloom.operators import curves, iterate, linear, pixels as px, render, score, spatial, stats, units
 from bandloom.sources import signatures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,19 +73,19 @@ def _mean_matrix(c: DataFrame) -> tuple[list[int], np.ndarray]:
 best as (select vec_id, any_value(class_id) as actual, min_by(member, (round(t, 9), member)) as predicted from a group by vec_id)
 select cast(actual as int) as actual, cast(predicted as int) as predicted, cast(count(*) as bigint) as n from best group by all""")
 def sam_confusion(spark: SparkSession, d: str) -> DataFrame:
-    """Every pixel to the class mean at the smallest spectral angle, as a confusion table."""
+    """Every pixel to the class mean at the smallest angle, as a confusion table."""
     c = cube(spark, d)
     ids, m = _mean_matrix(c)
-    angles = score.spectral_angles(c, m)
+    angles = score.angles(c, m)
     nearest = F.array_min(F.zip_with("angles", F.array(*[F.lit(i) for i in ids]), lambda a, i: F.struct(F.round(a, 9).alias("a"), i.alias("i"))))
     return angles.select(F.col("class_id").alias("actual"), nearest["i"].alias("predicted")).groupBy("actual", "predicted").agg(F.count("*").alias("n"))
 
 
 @_query(f"with {_MEANS} select row, col, cast(member as int) as member, round(acos(greatest(-1, least(1, list_cosine_similarity(s, m)))), 6) as angle from cube, means")
-def spectral_angles(spark: SparkSession, d: str) -> DataFrame:
+def member_angles(spark: SparkSession, d: str) -> DataFrame:
     c = cube(spark, d)
     ids, m = _mean_matrix(c)
-    out = score.spectral_angles(c, m).select("row", "col", F.posexplode("angles").alias("i", "angle"))
+    out = score.angles(c, m).select("row", "col", F.posexplode("angles").alias("i", "angle"))
     return out.select("row", "col", F.get(F.array(*[F.lit(i) for i in ids]), F.col("i")).alias("member"), _r("angle").alias("angle"))
 
 
@@ -334,8 +334,6 @@ _SIG = "with sp as (select distinct on (spectrumid) * from spectra order by spec
 @_query(_SIG + " select spectrumid, sampleid, name, sp.numvalues, round(sp.minwavelength, 4) as minwavelength from sp join sa using (sampleid)")
 def signature_join(spark: SparkSession, d: str) -> DataFrame:
     """Every spectrum with its sample, once each."""
-    from bandloom.common import one_per_key
-
     sp = one_per_key(table(spark, d, "spectra").select("spectrumid", "sampleid", "numvalues", "minwavelength", "loadedat"), "spectrumid")
     sa = one_per_key(table(spark, d, "samples").select("sampleid", "name", "loadedat"), "sampleid")
     return sp.join(sa.select("sampleid", "name"), "sampleid").select("spectrumid", "sampleid", "name", "numvalues", F.round("minwavelength", 4).alias("minwavelength"))
@@ -347,62 +345,209 @@ def catalogue_sql(spark: SparkSession, d: str) -> DataFrame:
     return signatures.query(spark, "select phase, count(*) as n, count(distinct samplenum) as numbers from Samples where phase is not null group by phase having count(*) > ?", [2], Samples=table(spark, d, "samples"))
 
 
-@_query()
+_USGS = "with sa as (select distinct on (sampleid) * from usgs_samples order by sampleid, loadedat), wl as (select * from usgs_spectrometer where measurementtype = 'Wavelengths')"
+_ASSUMED = _USGS + """, best as (select sampleid, min_by(spectrometerdataid, (case when lower(wl.name) = lower(coalesce(spectrometer, '')) then 1 when coalesce(spectrometer, '') <> '' and starts_with(lower(wl.name), lower(spectrometer[1:3])) then 2 else 3 end, spectrometerdataid)) as wl
+from sa join wl using (libname, numvalues) group by sampleid)"""
+
+
+def _usgs_samples(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return one_per_key(table(spark, d, "usgs_samples").select("sampleid", "libname", "spectrometer", "numvalues", "loadedat", *columns), "sampleid")
+
+
+@_query(_ASSUMED + " select sampleid, best.wl as assumedwlspmeterdataid from sa left join best using (sampleid)")
 def assumed_wavelengths(spark: SparkSession, d: str) -> DataFrame:
-    from bandloom.common import one_per_key
+    return signatures.assume_wavelengths(_usgs_samples(spark, d), table(spark, d, "usgs_spectrometer")).select("sampleid", "assumedwlspmeterdataid")
+
 
-    s = one_per_key(table(spark, d, "usgs_samples").drop("valuesarray"), "sampleid")
-    return signatures.assume_wavelengths(s, table(spark, d, "usgs_spectrometer")).select("sampleid", "assumedwlspmeterdataid")
+@_query("""with sa as (select distinct on (sampleid) * from usgs_samples order by sampleid, loadedat), j as (select sampleid, sa.valuesarray as y, w.valuesarray as x from sa join usgs_spectrometer w on w.spectrometerdataid = sa.assumedwlspmeterdataid)
+select sampleid, cast(len(x) as bigint) as n, round(cast(x[1] as double), 5) as first_x, round(cast(x[-1] as double), 5) as last_x, round(cast(y[1] as double), 5) as first_y from j where len(x) = len(y)""")
+def usgs_spectra(spark: SparkSession, d: str) -> DataFrame:
+    """Every library sample with the wavelengths of its assumed record, by its ends."""
+    s = one_per_key(table(spark, d, "usgs_samples"), "sampleid")
+    got = signatures.usgs_spectrum(s, table(spark, d, "usgs_spectrometer"))
+    end = lambda c, i: F.round(F.element_at(c, i).cast("double"), 5)
+    return got.select("sampleid", F.size("xdata").cast("long").alias("n"), end("xdata", 1).alias("first_x"), end("xdata", -1).alias("last_x"), end("ydata", 1).alias("first_y"))
 
 
 @_query()
 def resampled_spectra(spark: SparkSession, d: str) -> DataFrame:
     """All spectra in micrometers on twelve bands from 0.4 to 2.4."""
-    from bandloom.common import one_per_key
-    from bandloom.operators import units
-
     s = units.resolve_spectra(one_per_key(table(spark, d, "spectra"), "spectrumid"))
-    um = s.select("spectrumid", units.converted(F.col("xdata"), F.col("x_unit.unit"), units.WAVELENGTH).alias("xdata"), "ydata", F.lit(0).alias("place"))
-    return signatures.resampled_library(um.drop("place"), um.select("spectrumid", "place"), list(np.linspace(0.4, 2.4, 12)))
+    um = s.select("spectrumid", units.converted(F.col("xdata"), F.col("x_unit.unit"), units.WAVELENGTH).alias("xdata"), "ydata")
+    return signatures.resampled_library(um, None, list(np.linspace(0.4, 2.4, 12)))
 
 
 @_query()
 def linear_discriminant(spark: SparkSession, d: str) -> DataFrame:
+    """The image in the directions that part its classes best, of all 64 bands."""
+    c = cube(spark, d)
+    return linear.linear_discriminant(stats.class_stats(c, "class_id")).transform.apply(c)
+
+
+@_query("select cast(i as int) as component, 1.0::double as within, 0.0::double as others from (select count(distinct label) - 1 as k from embeddings) u, range(64) t(i) where i < k")
+def linear_discriminant_whitens(spark: SparkSession, d: str) -> DataFrame:
+    """The pooled covariance of the classes as measured on the transformed image: one in each direction, none in common."""
     c = cube(spark, d)
-    return linear.linear_discriminant(stats.class_stats(px.select_bands(c, range(8)), "class_id")).transform.apply(px.select_bands(c, range(8)))
+    done = linear.linear_discriminant(stats.class_stats(c, "class_id")).transform.apply(c)
+    cov = stats.cov_avg(stats.class_stats(done, "class_id"))
+    others = np.abs(cov - np.diag(np.diag(cov))).max(axis=0)
+    return spark.createDataFrame([(i, float(cov[i, i]), float(others[i])) for i in range(len(cov))], "component int, within double, others double").select("component", _r("within").alias("within"), _r("others").alias("others"))
 
 
 @_query()
 def noise_fraction(spark: SparkSession, d: str) -> DataFrame:
-    c = px.select_bands(cube(spark, d), range(8))
+    """The four components of most signal to noise, of all 64 bands."""
+    c = cube(spark, d)
     return linear.MinimumNoiseFraction(stats.calc_stats(c), stats.noise_from_diffs(c)).reduction(num=4).apply(c)
 
 
+@_query("select cast(i as int) as component, 1.0::double as noise, 0.0::double as others from range(64) t(i)")
+def noise_fraction_whitens(spark: SparkSession, d: str) -> DataFrame:
+    """The noise of all 64 components as measured on the transformed image: one each, and none in common."""
+    c = cube(spark, d)
+    t = linear.MinimumNoiseFraction(stats.calc_stats(c), stats.noise_from_diffs(c)).reduction(num=64).apply(c)
+    cov = stats.noise_from_diffs(t).cov
+    others = np.abs(cov - np.diag(np.diag(cov))).max(axis=0)
+    return spark.createDataFrame([(i, float(cov[i, i]), float(others[i])) for i in range(64)], "component int, noise double, others double").select("component", _r("noise").alias("noise"), _r("others").alias("others"))
+
+
+@_query(f"with {_LONG} select cast(count(distinct (row, col)) as bigint) as n, round((count(distinct (row, col)) - 1) * count(distinct band), 5)::double as total from long")
+def rx_of_all_bands(spark: SparkSession, d: str) -> DataFrame:
+    """RX over 64 bands: the scores of all pixels add up to (pixels - 1) times bands, whatever the data."""
+    c = cube(spark, d)
+    return score.rx(c, stats.calc_stats(c)).agg(F.count("*").alias("n"), _r(F.sum("rx"), 5).alias("total"))
+
+
+@_query(f"with {_LONG}, cv as (select a.band as i, b.band as j, covar_samp(a.v, b.v) as c from long a join long b using (row, col) group by all) select round(sum(case when i = j then c else 0 end), 8) as total, round(sum(c * c), 8) as squares from cv")
+def principal_components_of_all_bands(spark: SparkSession, d: str) -> DataFrame:
+    """64 eigenvalues by their sum and the sum of their squares, which the covariance tells."""
+    w = np.asarray(linear.principal_components(stats.calc_stats(cube(spark, d))).eigenvalues, float)
+    return spark.createDataFrame([(float(w.sum()), float((w * w).sum()))], "total double, squares double").select(_r("total", 8).alias("total"), _r("squares", 8).alias("squares"))
+
+
+@_query(f"with {_LONG}, t as (select avg(v) as v, band from long where class_id = 2 group by band) select 0.0::double as mean_score, 1.0::double as of_target from t limit 1")
+def matched_filter_of_all_bands(spark: SparkSession, d: str) -> DataFrame:
+    """The matched filter over 64 bands: 0 on the whole, 1 for the target."""
+    c = cube(spark, d)
+    target = stats.class_stats(c, "class_id")[2].mean
+    background = stats.calc_stats(c)
+    one = spark.createDataFrame([(target.tolist(),)], "spectrum array<double>")
+    return score.matched_filter(c, target, background).agg(_r(F.avg("mf")).alias("mean_score")).crossJoin(score.matched_filter(one, target, background).select(_r("mf").alias("of_target")))  # one row each
+
+
+def _local_sql(value: str) -> str:
+    return f"""with {_PART}, n as (select max(row) + 1 as nr, max(col) + 1 as nc from p),
+k as (select p.*, least(greatest(row - 4, 0), nr - 9) as r0, least(greatest(col - 4, 0), nc - 9) as c0, least(greatest(row - 1, 0), nr - 3) as i0, least(greatest(col - 1, 0), nc - 3) as j0 from p, n),
+m as (select k.row, k.col, any_value(k.x) as x, any_value(k.y) as y, avg(q.x) as mx, avg(q.y) as my, var_samp(q.x) as a, covar_samp(q.x, q.y) as c, var_samp(q.y) as d from k join p q on q.row between r0 and r0 + 8 and q.col between c0 and c0 + 8 and not (q.row between i0 and i0 + 2 and q.col between j0 and j0 + 2) group by k.row, k.col),
+s as (select row, col, x - mx as x, y - my as y, 10.0 - mx as tx, 1500.0 - my as ty, d / (a * d - c * c) as ia, -c / (a * d - c * c) as ic, a / (a * d - c * c) as id from m),
+z as (select row, col, x * x * ia + 2 * x * y * ic + y * y * id as xx, tx * x * ia + (tx * y + ty * x) * ic + ty * y * id as xt, tx * tx * ia + 2 * tx * ty * ic + ty * ty * id as tt from s)
+select row, col, round({value}, 5) + 0.0 as score from z"""
+
+
+def _local(spark: SparkSession, d: str, detector: str) -> DataFrame:
+    p = parts(spark, d)
+    return spatial.windowed(p, detector, 3, 9, _shape(p), target=np.array([10.0, 1500.0])).select("row", "col", _r("score", 5).alias("score"))
+
+
+@_query(_local_sql("xx"))
+def window_local_rx(spark: SparkSession, d: str) -> DataFrame:
+    """RX against mean and covariance around each pixel (outer window 9, inner 3)."""
+    return _local(spark, d, "rx")
+
+
+@_query(_local_sql("xt / tt"))
+def window_local_matched_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _local(spark, d, "mf")
+
+
+@_query(_local_sql("least(1, greatest(0, xt * xt / (tt * xx)))"))
+def window_local_ace(spark: SparkSession, d: str) -> DataFrame:
+    return _local(spark, d, "ace")
+
+
 @_query()
 def pixel_purity(spark: SparkSession, d: str) -> DataFrame:
     return iterate.purity(cube(spark, d), 500, seed=3)
 
 
+@_query(f"with {_CUBE} select cast(count(*) as bigint) as n, 0 as below, 0.0::double as worst from cube")
+def convex_cone_rebuilds(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels as their abundances of endmembers and what is left: no abundance is below zero, and the sum gives the pixel again."""
+    c = cube(spark, d).select((F.col("row") * 25 + F.col("col")).alias("key"), F.transform("spectrum", lambda v: v + 1).alias("spectrum"))
+    keys, state = iterate.smacc(c, "key", min_endmembers=6)
+    members = {r["key"]: np.array(r["spectrum"]) for r in c.where(F.col("key").isin(keys)).collect()}  # a row an endmember
+    order = np.array([members[k] for k in keys])
+    both = state.join(c, "key").select("spectrum", "residual", "abundances")
+    away = F.zip_with(F.zip_with("spectrum", "residual", lambda a, b: a - b), "made", lambda a, b: F.abs(a - b))
+    made = linear.LinearTransform(order.T).apply(both.withColumn("pixel", F.col("spectrum")).withColumn("spectrum", F.col("abundances")))
+    made = made.select(F.col("spectrum").alias("made"), F.col("pixel").alias("spectrum"), "residual", "abundances")
+    return made.agg(F.count("*").alias("n"), F.sum(F.exists("abundances", lambda v: v < -1e-9).cast("int")).cast("int").alias("below"), F.round(F.max(F.array_max(away)), 6).alias("worst"))
+
+
 @_query()
 def convex_cone(spark: SparkSession, d: str) -> DataFrame:
     c = cube(spark, d).select((F.col("row") * 25 + F.col("col")).alias("id"), F.transform("spectrum", lambda v: v + 1).alias("spectrum"))
     return iterate.smacc(c, "id", min_endmembers=6)[1]
 
 
-@_query()
+@_query(f"""with {_LONG}, v as (select row, col, band, v + 1 as v from long),
+chords as (select a.row, a.col, a.band as i, b.band as k, a.v as p, b.v as q from v a join v b using (row, col) where a.band <= b.band),
+top as (select c.row, c.col, t.band, max(case when i = k then p else p + (q - p) * (t.band - i) / (k - i) end) as h from chords c join (select distinct band from v) t on t.band between i and k group by all)
+select row, col, cast(band as int) as band, round(v.v / h, 6) as removed from v join top using (row, col, band)""")
 def continuum_removed(spark: SparkSession, d: str) -> DataFrame:
+    """The upper hull of each spectrum divided out: at a band, the hull is the highest of all chords over it."""
     c = cube(spark, d).withColumn("spectrum", F.transform("spectrum", lambda v: v + 1))
-    return curves.remove_continuum(c, list(range(64)))
+    return curves.remove_continuum(c, list(range(64))).select("row", "col", F.posexplode("removed").alias("band", "removed")).select("row", "col", "band", F.round("removed", 6).alias("removed"))
 
 
 @_query()
+def continuum_segmented(spark: SparkSession, d: str) -> DataFrame:
+    c = cube(spark, d).withColumn("spectrum", F.transform("spectrum", lambda v: v + 1))
+    return curves.remove_continuum(c, list(range(64)), "segmented").select("row", "col", F.posexplode("removed").alias("band", "removed")).select("row", "col", "band", F.round("removed", 6).alias("removed"))
+
+
+_KM_ALL = _CUBE + """, lim as (select min(v) as lo, max(v) as hi, band from (select unnest(s) as v, generate_subscripts(s, 1) as band from cube) group by band),
+recur(it, i, c) as (
+select 0, k, list(lo + (hi - lo) * k / 9.0 order by band) from lim, range(10) t(k) group by k
+union all
+select any_value(r.it) + 1, r.i, coalesce(any_value(n.c), any_value(r.c)) from (select * from recur) r left join (
+  select i, list(m order by band) as c from (select i, band, avg(v) as m from (
+    select i, unnest(s) as v, generate_subscripts(s, 1) as band from (
+      select vec_id, any_value(s) as s, min_by(i, (d, i)) as i from (select vec_id, s, i, list_sum(list_transform(list_zip(s, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from cube, recur) group by vec_id)) group by i, band) group by i) n on n.i = r.i
+where r.it < 20 group by r.i)"""
+
+
+@_query(f"with recursive {_KM_ALL}, last as (select i, c from recur where it = 20) select row, col, cast(min_by(i, (list_sum(list_transform(list_zip(s, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), i)) as int) as cluster from cube, last group by row, col")
 def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
     return iterate.kmeans(cube(spark, d), 10, 20)[0].select("row", "col", "cluster")
 
 
 @_query()
 def perceptron_classes(spark: SparkSession, d: str) -> DataFrame:
-    c = px.select_bands(cube(spark, d), range(8))
+    """Classes by a network of one hidden layer, trained on all labelled pixels and all 64 bands."""
+    c = cube(spark, d)
     net = iterate.PerceptronClassifier([10])
-    net.train(c, 20, max_iterations=60, rate=0.3, batch=5)
+    net.train(c, max_iterations=60, rate=0.3, batch=5)
     return net.classify(c).select("row", "col", "predicted")
+
+
+@_query(f"with {_PART}, w as (select p.row, p.col, avg(q.y) as v from p join p q on q.row between p.row - 1 and p.row + 1 and q.col between p.col - 1 and p.col + 1 where p.row >= 2 and p.row < 20 and p.col % 7 = 3 group by p.row, p.col) select row, col, round(v, 5) as v from w")
+def window_slices(spark: SparkSession, d: str) -> DataFrame:
+    """A function of the window around some of the pixels: rows 2 to 19, each seventh column."""
+    p = parts(spark, d)
+    done = spatial.map_window(p, lambda b, _: np.nanmean(b[:, :, 1]), 3, _shape(p), "clip", rows=slice(2, 20), cols=slice(3, None, 7))
+    return done.select("row", "col", _r(F.get("value", F.lit(0)), 5).alias("v"))
+
+
+@_query(f"""with {_PART}, s as (select x as v, row_number() over (order by x) - 1 as i, count(*) over () as n from p), u as (select y as v, row_number() over (order by y) - 1 as i, count(*) over () as n from p),
+l as (select least((select v from s where i = cast(floor(0.02 * (n - 1)) as bigint)), (select v from u where i = cast(floor(0.02 * (n - 1)) as bigint))) as lo, greatest((select v from s where i = cast(floor(0.98 * (n - 1)) as bigint)), (select v from u where i = cast(floor(0.98 * (n - 1)) as bigint))) as hi)
+select row, col, round(least(1, greatest(0, (x - lo) / (hi - lo))), 6) as r, round(least(1, greatest(0, (y - lo) / (hi - lo))), 6) as g, round(least(1, greatest(0, (x - lo) / (hi - lo))), 6) as b from p, l""")
+def rgb_common_stretch(spark: SparkSession, d: str) -> DataFrame:
+    """Tails of 2 % cut off, the same limits for all bands."""
+    return render.get_rgb(parts(spark, d), [0, 1, 0], stretch=0.02, stretch_all=False).select("row", "col", *[F.round(c, 6).alias(c) for c in "rgb"])
+
+
+@_query(f"with {_CUBE} select row, col, (case class_id when 1 then 255 when 2 then 0 when 3 then 0 when 4 then 255 when 5 then 255 when 6 then 0 when 7 then 200 when 8 then 0 when 9 then 100 else 200 end) as r, (case class_id when 1 then 0 when 2 then 255 when 3 then 0 when 4 then 255 when 5 then 0 when 6 then 255 when 7 then 100 when 8 then 200 when 9 then 0 else 0 end) as g from cube")
+def class_colours(spark: SparkSession, d: str) -> DataFrame:
+    """The class map in the colours of classes; red and green."""
+    return render.colour_classes(cube(spark, d).select("row", "col", "class_id")).select("row", "col", "r", "g")

@@ -19,13 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from bandloom.operators.render import CLASS_COLORS
+
 #: The codes of data types in headers.
 DTYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 6: "c8", 9: "c16", 12: "u2", 13: "u4", 14: "i8", 15: "u8"}
 #: What a header must tell, and data file suffixes tried.
 REQUIRED = ("lines", "samples", "bands", "data type", "interleave", "byte order")
 SUFFIXES = ("", ".img", ".dat", ".sli", ".hyspex", ".raw", ".bil", ".bip", ".bsq")
+#: Fixed value: the file type of a library in headers.
+LIBRARY_TYPE = "ENVI Spectral Library"
 _SCHEMA = "row int, col int, spectrum array<double>"
 _BLOCK_BYTES = 32 << 20
+#: Values of a batch that leaves the reader.
+_BATCH_VALUES = 1 << 21
 
 
 class HeaderError(ValueError):
@@ -76,22 +82,32 @@ class Layout:
     scale: float = 1.0
     meta: dict = field(default_factory=dict)
 
-    def rows(self, start: int, stop: int) -> np.ndarray:
-        """Image rows [start, stop) as (row, col, band), scaled, in doubles (complex kept)."""
+    def mapped(self, mode: str = "r") -> np.memmap:
+        """The file's values in the order of its interleave; what isn't sliced isn't read."""
         r, c, b = self.shape
-        t = np.dtype(self.dtype)
-        if self.interleave == "bsq":
-            out = np.empty((stop - start, c, b), t)
-            with open(self.path, "rb") as f:
-                for k in range(b):
-                    f.seek(self.offset + ((k * r + start) * c) * t.itemsize)
-                    out[:, :, k] = np.frombuffer(f.read((stop - start) * c * t.itemsize), t).reshape(stop - start, c)
+        shape = {"bip": (r, c, b), "bil": (r, b, c), "bsq": (b, r, c)}[self.interleave]
+        return np.memmap(self.path, np.dtype(self.dtype), mode, self.offset, shape)
+
+    def block(self, rows: slice, cols: slice, bands: Sequence[int] | None = None) -> np.ndarray:
+        """A block as (row, col, band), scaled, in doubles (complex kept); only its rows, columns and bands are read."""
+        m, pick = self.mapped(), slice(None) if bands is None else list(bands)
+        if self.interleave == "bip":
+            out = m[rows, cols][..., pick]
+        elif self.interleave == "bil":
+            out = m[rows][:, pick][..., cols].transpose(0, 2, 1)
+        else:
+            out = np.stack([m[b][rows, cols] for b in (range(self.shape[2]) if bands is None else bands)], axis=2)
+        return np.asarray(out).astype(complex if out.dtype.kind == "c" else float) / self.scale
+
+    def write(self, mapped: np.memmap, rows: np.ndarray, cols: np.ndarray, values: np.ndarray) -> None:
+        """Pixels into the mapped file; whole numbers are rounded."""
+        v = np.round(values) if mapped.dtype.kind in "iu" else values
+        if self.interleave == "bip":
+            mapped[rows, cols] = v
+        elif self.interleave == "bil":
+            mapped[rows, :, cols] = v
         else:
-            with open(self.path, "rb") as f:
-                f.seek(self.offset + start * c * b * t.itemsize)
-                raw = np.frombuffer(f.read((stop - start) * c * b * t.itemsize), t)
-            out = raw.reshape(stop - start, b, c).transpose(0, 2, 1) if self.interleave == "bil" else raw.reshape(stop - start, c, b)
-        return out.astype(complex if t.kind == "c" else float) / self.scale
+            mapped[:, rows, cols] = v.T
 
 
 def find_file(name: str, path: Sequence[str] = (".",)) -> str:
@@ -104,17 +120,15 @@ def find_file(name: str, path: Sequence[str] = (".",)) -> str:
 
 
 def open_cube(header: str, data: str | None = None) -> Layout:
-    """The layout of a cube or spectral library from its header file."""
+    """The layout of a cube or library from its header file."""
     header = find_file(header)
     with open(header, encoding="utf-8", errors="replace") as f:
         h = parse_header(f.read())
     missing = [k for k in REQUIRED if k not in h]
     if missing:
         raise HeaderError(f"the header lacks {', '.join(missing)}")
-    for k in ("major frame offsets", "minor frame offsets"):
-        v = h.get(k, "0")
-        if any(int(x) for x in (v if isinstance(v, list) else [v])):
-            raise HeaderError("frame offsets are not supported")
+    if any(_offsets(h)):
+        raise HeaderError("frame offsets are not supported")
     interleave = str(h["interleave"]).lower()
     if interleave not in ("bil", "bip", "bsq"):
         raise HeaderError(f"unknown interleave {interleave}")
@@ -128,7 +142,7 @@ def open_cube(header: str, data: str | None = None) -> Layout:
         if data is None:
             raise FileNotFoundError(f"no data beside {header}")
     dtype = np.dtype(DTYPES[code]).newbyteorder(">" if int(h["byte order"]) else "<")
-    lib = str(h.get("file type", "")).lower().endswith("spectral library")
+    lib = str(h.get("file type", "")).lower() == LIBRARY_TYPE.lower()
     shape = (int(h["lines"]), int(h["samples"]), int(h["bands"]))
     if lib:
         # A library is an image of one band whose lines are spectra.
@@ -201,26 +215,31 @@ class _Reader(DataSourceReader):
         return [_Block(s, min(s + size, self.high[0])) for s in range(self.low[0], self.high[0], size)] or [_Block(0, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        c0, c1 = self.low[1], self.high[1]
-        for r in range(partition.start, partition.stop):
-            if c1 <= c0:
-                return
-            x = self.layout.rows(r, r + 1)[0, c0:c1]
-            x = x if self.bands is None else x[:, self.bands]
-            x = np.abs(x) if np.iscomplexobj(x) else x
-            n, b = x.shape
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r, np.int32)), pa.array(np.arange(c0, c1, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * b), pa.array(np.ascontiguousarray(x).ravel()))], names=["row", "col", "spectrum"])
+        c0, c1 = max(self.low[1], 0), min(self.high[1], self.layout.shape[1])
+        width = max(1, len(self.bands) if self.bands is not None else self.layout.shape[2])
+        step = max(1, _BATCH_VALUES // (width * max(1, c1 - c0)))
+        for r in range(partition.start, partition.stop if c1 > c0 else partition.start, step):
+            x = self.layout.block(slice(r, min(r + step, partition.stop)), slice(c0, c1), self.bands)
+            h, w, b = x.shape
+            flat = np.ascontiguousarray(x).ravel()
+            values = pa.StructArray.from_arrays([pa.array(flat.real), pa.array(flat.imag)], names=["re", "im"]) if np.iscomplexobj(x) else pa.array(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(r, r + h, dtype=np.int32), w)), pa.array(np.tile(np.arange(c0, c1, dtype=np.int32), h)), pa.ListArray.from_arrays(pa.array(np.arange(h * w + 1, dtype=np.int32) * b), values)], names=["row", "col", "spectrum"])
 
 
 class _Source(DataSource):
     opener = staticmethod(sniff)
 
     def schema(self) -> str:
-        return _SCHEMA
+        """Complex cubes have spectra of struct(re, im)."""
+        kind = np.dtype(type(self).opener(self.options["path"]).dtype).kind
+        return _SCHEMA.replace("array<double>", "array<struct<re: double, im: double>>") if kind == "c" else _SCHEMA
 
     def reader(self, schema: object) -> DataSourceReader:
-        bands = self.options.get("bands")
-        return _Reader(type(self).opener(self.options["path"]), None if bands is None else [int(b) for b in bands.split(",")])
+        bands, layout = self.options.get("bands"), type(self).opener(self.options["path"])
+        picked = None if bands is None else [int(b) % layout.shape[2] if -layout.shape[2] <= int(b) < layout.shape[2] else int(b) for b in bands.split(",")]
+        if picked is not None and any(b >= layout.shape[2] or b < 0 for b in picked):
+            raise ValueError(f"bands must be in [0, {layout.shape[2]})")
+        return _Reader(layout, picked)
 
 
 class CubeSource(_Source):
@@ -266,40 +285,97 @@ def read_image(spark: SparkSession, path: str, bands: Sequence[int] | None = Non
     return (r if bands is None else r.option("bands", ",".join(map(str, bands)))).load(os.path.abspath(find_file(path)))
 
 
-def save_image(pixels: DataFrame, header: str, dtype: str = "f4", interleave: str = "bip", byteorder: int = 0, force: bool = False, meta: Mapping[str, object] | None = None, ext: str = ".img", spectrum: str = "spectrum") -> None:
-    """``pixels`` as a cube: its header, and data written row by row as the sorted pixels come in.
+def complex_parts(pixels: DataFrame, spectrum: str = "spectrum") -> DataFrame:
+    """Spectra of struct(re, im) as their moduli, and ``phase`` as their angles."""
+    from pyspark.sql import functions as F
+
+    length = lambda z: F.sqrt(z["re"] * z["re"] + z["im"] * z["im"])
+    return pixels.withColumn("phase", F.transform(spectrum, lambda z: F.atan2(z["im"], z["re"]))).withColumn(spectrum, F.transform(spectrum, length))
+
+
+def _code_of(dtype: object) -> int:
+    code = {v: k for k, v in DTYPES.items()}.get(np.dtype(dtype).str[1:])
+    if code is None:
+        raise ValueError(f"no code for data type {dtype}")
+    return code
 
-    Missing pixels are 0. The driver holds one image row at a time (for bsq the file
-    is filled in place).
+
+def create_image(header: str, shape: Sequence[int] | None = None, dtype: str | None = None, interleave: str | None = None, meta: Mapping[str, object] | None = None, byteorder: int = 0, offset: int | None = None, force: bool = False, ext: str = ".img") -> Layout:
+    """A new image of zeros, and its header; ``meta`` may tell what the other parameters don't.
+
+    ``shape`` is (rows, columns, bands) or (rows, columns). Frame offsets are refused.
     """
     if not header.lower().endswith(".hdr"):
         raise ValueError("the header's name must end with .hdr")
     data = header[:-4] + ext
     if not force and (os.path.exists(header) or os.path.exists(data)):
         raise FileExistsError(header)
-    code = {v: k for k, v in DTYPES.items()}.get(np.dtype(dtype).str[1:])
-    if code is None:
-        raise ValueError(f"no code for data type {dtype}")
+    head: dict[str, object] = {"header offset": 0, "interleave": "bip", **(meta or {})}
+    if shape is not None:
+        head |= {"lines": int(shape[0]), "samples": int(shape[1]), "bands": int(shape[2]) if len(shape) > 2 else 1}
+    head |= {k: v for k, v in (("data type", None if dtype is None else _code_of(dtype)), ("interleave", interleave), ("header offset", offset)) if v is not None}
+    head["byte order"] = byteorder
+    missing = [k for k in REQUIRED if k not in head]
+    if missing:
+        raise HeaderError(f"the header lacks {', '.join(missing)}")
+    if any(_offsets(head)):
+        raise HeaderError("frame offsets are not supported")
+    if str(head["interleave"]).lower() not in ("bil", "bip", "bsq") or int(head["data type"]) not in DTYPES:
+        raise HeaderError("unknown interleave or data type")
+    kind = np.dtype(DTYPES[int(head["data type"])]).newbyteorder(">" if byteorder else "<")
+    layout = Layout(data, (int(head["lines"]), int(head["samples"]), int(head["bands"])), kind.str, str(head["interleave"]).lower(), int(head["header offset"]), meta=head)
+    with open(data, "wb") as f:
+        f.truncate(layout.offset + int(np.prod(layout.shape, dtype=np.int64)) * kind.itemsize)
+    with open(header, "w", encoding="utf-8") as f:
+        f.write(render_header(head))
+    return layout
+
+
+def _offsets(head: Mapping[str, object]) -> list[int]:
+    found = [head.get(k, "0") for k in ("major frame offsets", "minor frame offsets")]
+    return [int(x) for v in found for x in (v if isinstance(v, (list, tuple)) else [v])]
+
+
+def write_pixels(pixels: DataFrame, layout: Layout, spectrum: str = "spectrum") -> int:
+    """Puts ``pixels`` into the file of ``layout``, and returns their number.
+
+    Every task writes the blocks of rows that it holds to their places, so the file
+    must lie in a folder that all executors share. A task that runs again writes the
+    same values to the same places. The driver gets a count a task.
+    """
+    import pyspark.sql.functions as F
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mapped, n = layout.mapped("r+"), 0
+        for b in batches:
+            if b.num_rows:
+                v = b.column("spectrum").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                layout.write(mapped, b.column("row").to_numpy(), b.column("col").to_numpy(), v)
+                n += b.num_rows
+        mapped.flush()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    if not np.prod(layout.shape):
+        return 0
+    rows = pixels.select("row", "col", F.col(spectrum).cast("array<double>").alias("spectrum")).where("spectrum is not null")
+    return int(rows.repartitionByRange("row").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0)
+
+
+def add_band_info(meta: Mapping[str, object], centers: Sequence[float] | None = None, bandwidths: Sequence[float] | None = None, unit: str | None = None, overwrite: bool = False) -> dict[str, object]:
+    """``meta`` with wavelengths, widths and their unit, where it has none yet or ``overwrite`` is set."""
+    new = {"wavelength": centers, "fwhm": bandwidths, "wavelength units": unit}
+    return {**meta, **{k: list(v) if k != "wavelength units" else v for k, v in new.items() if v is not None and (overwrite or k not in meta)}}
+
+
+def save_image(pixels: DataFrame, header: str, dtype: str = "f4", interleave: str = "bip", byteorder: int = 0, force: bool = False, meta: Mapping[str, object] | None = None, ext: str = ".img", spectrum: str = "spectrum") -> None:
+    """``pixels`` as a cube with its header, written by the tasks block by block (see ``write_pixels``). Missing pixels are 0."""
     from pyspark.sql import functions as F
 
     size = pixels.agg((F.max("row") + 1).alias("r"), (F.max("col") + 1).alias("c"), F.max(F.size(spectrum)).alias("b")).first()
-    r, c, b = (int(v or 0) for v in size)
-    t = np.dtype(dtype).newbyteorder(">" if byteorder else "<")
-    head = {**(meta or {}), "lines": r, "samples": c, "bands": b, "header offset": 0, "file type": "ENVI Standard", "data type": code, "interleave": interleave, "byte order": byteorder}
-    out = np.memmap(data, t, "w+", shape={"bip": (r, c, b), "bil": (r, b, c), "bsq": (b, r, c)}[interleave]) if r * c * b else None
-    for p in pixels.select("row", "col", spectrum).orderBy("row", "col").toLocalIterator():
-        v = np.asarray(p[2], float)
-        v = np.round(v) if t.kind in "iu" else v
-        if interleave == "bip":
-            out[p[0], p[1], :] = v
-        elif interleave == "bil":
-            out[p[0], :, p[1]] = v
-        else:
-            out[:, p[0], p[1]] = v
-    if out is not None:
-        out.flush()
-    with open(header, "w", encoding="utf-8") as f:
-        f.write(render_header(head))
+    shape = tuple(int(v or 0) for v in size)
+    head = {k: v for k, v in (meta or {}).items() if k != "header offset"}
+    layout = create_image(header, shape, dtype, interleave, {"file type": "ENVI Standard", **head}, byteorder, 0, force, ext)
+    write_pixels(pixels, layout, spectrum)
 
 
 def save_classes(classes: DataFrame, header: str, names: Sequence[str] | None = None, colors: Sequence[Sequence[int]] | None = None, **options: object) -> None:
@@ -308,13 +384,13 @@ def save_classes(classes: DataFrame, header: str, names: Sequence[str] | None =
 
     n = int(classes.agg(F.max("class_id")).first()[0] or 0) + 1
     names = list(names or [f"class {i}" for i in range(n)])
-    colors = colors or [(i * 37 % 256, i * 91 % 256, i * 151 % 256) for i in range(n)]
+    colors = colors or [CLASS_COLORS[i % len(CLASS_COLORS)] for i in range(n)]
     meta = {"classes": n, "class names": names, "class lookup": [v for c in colors for v in c], **dict(options.pop("meta", {}) or {})}
     save_image(classes.select("row", "col", F.array(F.col("class_id").cast("double")).alias("spectrum")), header, dtype=str(options.pop("dtype", "u1")), meta={**meta, "file type": "ENVI Classification"}, **options)
 
 
 def read_library(spark: SparkSession, header: str) -> DataFrame:
-    """library(spectrum_id, name, spectrum) of a spectral library file; unnamed spectra are called 1 to n."""
+    """library(spectrum_id, name, spectrum) of a library file; unnamed spectra are called 1 to n."""
     from pyspark.sql import functions as F
 
     lay = open_cube(header)
@@ -328,14 +404,32 @@ def read_library(spark: SparkSession, header: str) -> DataFrame:
 
 
 def save_library(library: DataFrame, stem: str, bands: Mapping[str, Sequence[float]] | None = None, description: str | None = None) -> None:
-    """A library as ``stem``.sli (32-bit floats) and its header, in the order of spectrum_id."""
-    rows = library.orderBy("spectrum_id").toLocalIterator()
-    names, n = [], 0
-    with open(stem + ".sli", "wb") as f:
-        for r in rows:
-            f.write(np.asarray(r["spectrum"], "<f4").tobytes())
-            n, names = len(r["spectrum"]), [*names, r["name"]]
-    meta: dict[str, object] = {"samples": n, "lines": len(names), "bands": 1, "header offset": 0, "file type": "ENVI Spectral Library", "data type": 4, "interleave": "bsq", "byte order": 0, "spectra names": names}
+    """A library as ``stem``.sli (32-bit floats) and its header, in the order of spectrum_id.
+
+    The header holds the name of each spectrum, so names and ids go to the driver; the spectra are written by the tasks.
+    """
+    from pyspark.sql import functions as F
+
+    named = library.select("spectrum_id", "name", F.size("spectrum").alias("n")).orderBy("spectrum_id").toArrow()
+    ids = named.column("spectrum_id").to_numpy()
+    if len(np.unique(ids)) < len(ids):
+        raise ValueError("spectrum_id must be unique")
+    width = int(named.column("n")[0].as_py()) if len(ids) else 0
+    if any(n != width for n in named.column("n").to_pylist()):
+        raise ValueError("spectra of several lengths")
+    layout = Layout(stem + ".sli", (len(ids), 1, width), "<f4")
+    with open(layout.path, "wb") as f:
+        f.truncate(len(ids) * width * 4)
+    place = library.sparkSession.sparkContext.broadcast(ids)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.searchsorted(place.value, b.column("spectrum_id").to_numpy()).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(at), np.int32)), b.column("spectrum")], names=["row", "col", "spectrum"])
+
+    rows = library.select("spectrum_id", F.col("spectrum").cast("array<double>").alias("spectrum"))
+    write_pixels(rows.mapInArrow(numbered, "row int, col int, spectrum array<double>"), layout)
+    meta: dict[str, object] = {"samples": width, "lines": len(ids), "bands": 1, "header offset": 0, "file type": LIBRARY_TYPE, "data type": 4, "interleave": "bsq", "byte order": 0, "spectra names": named.column("name").to_pylist()}
     if description:
         meta["description"] = description
     meta |= {k: list(v) for k, v in (bands or {}).items()}

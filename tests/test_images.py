@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bandloom.operators import curves, iterate, linear, pixels as px, render, score, spatial, stats
-from bandloom.plans import core, spectral_queries as q
+from bandloom.plans import core, image_queries as q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings samples spectra spectra_raw usgs_samples usgs_spectrometer".split()
 
@@ -131,6 +131,73 @@ def test_windowed_ace_bounds(spark, cube):
     assert got.count() == 72 and got.where("score < 0 or score > 1").count() == 0
 
 
+@pytest.mark.parametrize(
+    ("y", "want"),
+    [
+        ([0, 1, 0.5, 0.6, 5.9, 6, 0, 0, 0, 20], [0, 1, 4, 5, 9]),  # a stretch between kept maxima gets a hull of its own
+        ([0, 2, 0, 0, 0, 20], [0, 1, 5]),  # five bands apart are enough
+        ([20, 0, 0, 0, 2, 0], [0, 4, 5]),  # from the lower end on
+        ([0, 2, 0, 0, 20], [0, 4]),  # four aren't
+        ([0, 1, 1, 1, 0.5, 0.2, 9], [0, 1, 6]),  # of a flat maximum the first
+        ([0, 0.9, 1, 0, 0, 0, 0, 9], [0, 2, 7]),  # none two bands before a kept maximum
+        ([1, 1, 1, 1, 1, 1], [0, 5]),
+    ],
+)
+def test_segmented_continuum(y, want):
+    assert curves.points(np.array(y, float), range(len(y)), "segmented") == want
+
+
+def test_local_windows_in_many_bands(spark):
+    """Scores of all pixels at once against one pixel at a time, with missing pixels."""
+    x = np.random.default_rng(5).random((14, 15, 3))
+    gone = {(3, 4), (7, 7)}
+    rows = [(i, j, x[i, j].tolist()) for i in range(14) for j in range(15) if (i, j) not in gone]
+    df = spark.createDataFrame(rows, "row int, col int, spectrum array<double>")
+    t = x[1, 1] + 0.2
+    for detector in ("rx", "mf", "ace"):
+        got = {(r["row"], r["col"]): r["score"] for r in spatial.windowed(df, detector, 3, 7, (14, 15), target=t).collect()}
+        assert len(got) == len(rows)
+        for i, j in [(0, 0), (5, 5), (13, 14), (8, 7)]:
+            a, b = (int(np.clip(v - 3, 0, n - 7)) for v, n in ((i, 14), (j, 15)))
+            p, q = (int(np.clip(v - 1, 0, n - 3)) for v, n in ((i, 14), (j, 15)))
+            w = np.array([x[k, m] for k in range(a, a + 7) for m in range(b, b + 7) if (k, m) not in gone and not (p <= k < p + 3 and q <= m < q + 3)])
+            mean, cov = w.mean(0), np.cov(w.T)
+            inv = np.linalg.inv(cov)
+            want = {"rx": score.rx_scores(x[i, j][None], mean, inv), "mf": score.mf_scores(x[i, j][None], mean, inv, t), "ace": score.ace_scores(x[i, j][None], mean, stats.matrix_sqrt(cov, inverse=True), t)}[detector][0]
+            assert abs(got[i, j] - want) < 1e-8
+    with pytest.raises(ValueError):
+        spatial.windowed(df, "rx", 7, 7, (14, 15))
+
+
+def test_pictures(spark, tmp_path):
+    import struct
+    import zlib
+
+    rgb = spark.createDataFrame([(0, 0, 1.0, 0.5, 0.0), (1, 2, 0.0, 0.0, 1.0)], "row int, col int, r double, g double, b double")
+    want = np.zeros((2, 3, 3), np.uint8)
+    want[0, 0], want[1, 2] = (255, 127, 0), (0, 0, 255)
+    assert np.array_equal(render.make_picture(rgb), want)
+    render.save_rgb(str(tmp_path / "a.png"), rgb)
+    raw = (tmp_path / "a.png").read_bytes()
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", raw[16:24]) == (3, 2)
+    at = raw.index(b"IDAT")
+    data = zlib.decompress(raw[at + 4 : at + 4 + struct.unpack(">I", raw[at - 4 : at])[0]])
+    assert np.array_equal(np.frombuffer(data, np.uint8).reshape(2, 10)[:, 1:].reshape(2, 3, 3), want)
+    tiles = render.save_tiles(str(tmp_path / "t"), rgb, tile=2).collect()
+    assert sorted((r["tile_row"], r["tile_col"]) for r in tiles) == [(0, 0), (0, 1)] and len(list((tmp_path / "t").iterdir())) == 2
+    assert render.make_picture(rgb.limit(0)).shape == (0, 0, 3)
+    assert render.default_scale()(24) == (0, 255, 0) and render.default_scale()(25) == (255, 0, 0) and render.default_scale(11)(15) == (0, 127, 127) and len(render.default_scale(12).table) == 12
+    with pytest.raises(ValueError):
+        render.default_scale(3)
+
+
+def test_matching_class_ids(spark):
+    a = spark.createDataFrame([(0, i, v) for i, v in enumerate([0, 0, 1, 1, 1, 2, 2, 9])], "row int, col int, class_id int")
+    b = spark.createDataFrame([(0, i, v) for i, v in enumerate([0, 3, 5, 5, 3, 3, 3, 0])], "row int, col int, class_id int")
+    assert px.match_classes(a, b, [0, 9]) == {0: 0, 9: 9, 1: 5, 2: 3}
+    assert px.match_classes(a, b, 0) == {0: 0, 1: 5, 2: 3, 9: 1}
+
+
 def test_continuum(spark):
     y = np.array([1.0, 3.0, 2.0, 2.5, 4.0, 1.0])
     assert curves.points(y, range(6)) == [0, 1, 4, 5]

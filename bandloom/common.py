@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-#: A side is broadcast only when its measured size in memory is below this many bytes.
+#: A side is broadcast only when its measured size is at most this many bytes.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -38,10 +38,32 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def _row_bytes(kind: T.DataType, c: Column) -> Column:
+    """The bytes of a value in memory: texts, binaries and arrays by their real lengths."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        own = F.octet_length(c) + 16
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+        own = F.aggregate(c, F.lit(24).cast("long"), lambda a, v: a + _row_bytes(kind.elementType, v))
+    elif isinstance(kind, T.ArrayType):
+        own = F.size(c) * 8 + 24
+    elif isinstance(kind, T.MapType):
+        own = _row_bytes(T.ArrayType(kind.keyType), F.map_keys(c)) + _row_bytes(T.ArrayType(kind.valueType), F.map_values(c))
+    elif isinstance(kind, T.StructType):
+        own = sum((_row_bytes(f.dataType, c[f.name]) for f in kind.fields), F.lit(16))
+    else:
+        return F.lit(8).cast("long")
+    return F.coalesce(own.cast("long"), F.lit(8).cast("long"))
+
+
 def fits(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` has few enough rows to be broadcast; counts no further than the limit."""
+    """Whether ``df`` may be broadcast: it has at most limit / bytes_per_row rows, and its values, measured by their real lengths, at most ``limit`` bytes.
+
+    Counts no further than the limit. ``bytes_per_row`` is what a row takes besides its values.
+    """
     most = max(1, limit // bytes_per_row)
-    return df.limit(most + 1).count() <= most
+    size = sum((_row_bytes(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(0).cast("long"))
+    n, total = df.limit(most + 1).agg(F.count("*"), F.sum(size)).first()
+    return n <= most and (total or 0) <= limit
 
 
 def maybe_broadcast(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> DataFrame:

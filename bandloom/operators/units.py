@@ -89,21 +89,37 @@ def phrase(text: Column, subject: str) -> Column:
     return F.when(found != "", found)
 
 
-def _spread(first: Column, second: Column, last: Column, n: Column) -> Column:
-    """How far the axis is from equal steps, as a log ratio."""
-    ratio = F.try_divide(last - first, (second - first) * (n - 1))
-    return F.when(n < 3, 0.0).otherwise(F.coalesce(F.least(F.abs(F.ln(F.when(ratio > 0, ratio))), F.lit(9.0)), F.lit(9.0)))
+def _spread(values: Column, u: Unit) -> Column:
+    """How far the channels are from equal steps in wavelength: the mean log ratio of each step to the mean step, over all steps."""
+    w = F.transform(values, lambda v: u.convert(v.cast("double")))
+    n = F.size(values)
+    # Evaluated at every step, so it must not hold the converted array.
+    mean = F.try_divide(u.convert(F.get(values, n - 1).cast("double")) - u.convert(F.get(values, F.lit(0)).cast("double")), n - 1)
+    off = F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1), lambda a, b: F.try_divide(b - a, mean))
+    log = F.transform(off, lambda r: F.coalesce(F.least(F.abs(F.ln(F.when(r > 0, r))), F.lit(9.0)), F.lit(9.0)))
+    return F.when(n < 3, 0.0).otherwise(F.aggregate(log, F.lit(0.0), lambda t, v: t + v) / (n - 1))
 
 
-def axis_residuals(values: Column, said: Column, units: Sequence[Unit] = WAVELENGTH) -> dict[str, Column]:
-    """For each unit, the residual of an axis ``values`` (an array) of which a text said the unit ``said`` (or null)."""
-    n = F.size(values)
-    a, b, z = F.get(values, F.lit(0)).cast("double"), F.get(values, F.lit(1)).cast("double"), F.get(values, n - 1).cast("double")
+def axis_facts(values: Column, units: Sequence[Unit] = WAVELENGTH) -> Column:
+    """struct(least, most, plain, reciprocal) of an axis: its bounds and how far its steps are from equal, in wavelength.
+
+    A factor doesn't change the steps' ratios, so they are looked at once for all units that aren't reciprocal.
+    """
+    steps = [_spread(values, next((u for u in units if u.reciprocal == r), units[0])).alias(n) for r, n in ((False, "plain"), (True, "reciprocal"))]
+    return F.struct(F.array_min(values).cast("double").alias("least"), F.array_max(values).cast("double").alias("most"), *steps)
+
+
+def axis_residuals(facts: Column, said: Column, units: Sequence[Unit] = WAVELENGTH) -> dict[str, Column]:
+    """For each unit, the residual of an axis (its ``axis_facts``) of which a text said the unit ``said`` (or null).
+
+    All entries count: their least and greatest must lie where instruments work, and their steps must be equal in wavelength.
+    """
+    least, most = facts["least"], facts["most"]
     out = {}
     for u in units:
-        lo, hi = F.least(u.convert(a), u.convert(z)), F.greatest(u.convert(a), u.convert(z))
+        lo, hi = F.least(u.convert(least), u.convert(most)), F.greatest(u.convert(least), u.convert(most))
         outside = F.coalesce(F.greatest(F.lit(0.0), F.ln(F.try_divide(F.lit(WINDOW[0]), lo))), F.lit(9.0)) + F.coalesce(F.greatest(F.lit(0.0), F.ln(hi / WINDOW[1])), F.lit(9.0))
-        out[u.name] = outside + _spread(u.convert(a), u.convert(b), u.convert(z), n) + _denied(said, u)
+        out[u.name] = outside + facts["reciprocal" if u.reciprocal else "plain"] + _denied(said, u)
     return out
 
 
@@ -139,14 +155,34 @@ def converted(values: Column, unit: Column, units: Sequence[Unit]) -> Column:
     return F.coalesce(*branches)
 
 
+def converted_bounds(least: Column, most: Column, unit: Column, units: Sequence[Unit] = WAVELENGTH) -> tuple[Column, Column]:
+    """The bounds of an axis in common units: the reciprocal of the greatest is the least."""
+    pick = lambda f: F.coalesce(*[F.when(unit == u.name, f(u.convert(least), u.convert(most))) for u in units])
+    return pick(F.least), pick(F.greatest)
+
+
 def _converter(u: Unit) -> Callable[[Column], Column]:
     return lambda v: u.convert(v.cast("double"))
 
 
+def combined(x: Column, y: Column) -> Column:
+    """All combinations of a unit of each axis (arrays of struct(residual, unit)), as array of struct(residual, x, y, x_residual, y_residual)."""
+    pair = lambda a, b: F.struct(F.round(a["residual"] + b["residual"], 6).alias("residual"), a["unit"].alias("x"), b["unit"].alias("y"), a["residual"].alias("x_residual"), b["residual"].alias("y_residual"))
+    return F.flatten(F.transform(x, lambda a: F.transform(y, lambda b: pair(a, b))))
+
+
+def _of_combination(all_of_them: Column, best: Column, axis: str) -> Column:
+    """struct(unit, residual, unique) of one axis in the best combination; unique: no combination with another unit there comes near."""
+    near = F.exists(all_of_them, lambda c: (c[axis] != best[axis]) & (c["residual"] - best["residual"] <= TOLERANCE))
+    return F.struct(best[axis].alias("unit"), best[f"{axis}_residual"].alias("residual"), (~near).alias("unique"))
+
+
 def resolve_spectra(df: DataFrame, x: str = "xdata", y: str = "ydata", xunit: str = "xunit", yunit: str = "yunit", remark: str = "measurement") -> DataFrame:
     """``df`` with ``x_unit``, ``y_unit`` (struct unit, residual, unique) from the values, the unit columns and the remark.
 
-    A null or empty array has a null unit. No row is dropped or merged, no
+    The combination of an x unit and a y unit with the least sum of log residuals
+    is chosen; ``unique`` is false where another unit of the axis fits about as
+    well. A null or empty array has a null unit. No row is dropped or merged, no
     shuffle is made; columns called x_unit or y_unit are replaced. An unreadable
     or null unit text counts as silence, and then the identities decide.
     """
@@ -156,17 +192,16 @@ def resolve_spectra(df: DataFrame, x: str = "xdata", y: str = "ydata", xunit: st
     x_said = F.coalesce(stated(F.col(xunit), WAVELENGTH), stated(phrase(F.col(remark), per), WAVELENGTH), stated(phrase(F.col(remark), on_axis), WAVELENGTH))
     of_values = r"(?:values:|stored as|data:|data in|y:|y is|ordinate(?: in)?)|(?=(?:reflect|transm|emis|absorp)[a-zé]* (?:in |given |multiplied|as |between|on a |scaled|times))"
     y_said = F.coalesce(stated(F.col(yunit), FRACTION), stated(phrase(F.col(remark), of_values), FRACTION))
-    tmp = {n: fresh(df, f"__{n}") for n in ("x_said", "y_said", "top", "x_order", "y_order")}
+    tmp = {n: fresh(df, f"__{n}") for n in ("x_said", "y_said", "top", "facts", "x_own", "y_own", "all", "best")}
     at = {k: F.col(f"`{v}`") for k, v in tmp.items()}
-    work = evaluated_once(df, {tmp["x_said"]: x_said, tmp["y_said"]: y_said, tmp["top"]: largest(F.col(y))})
-    work = evaluated_once(
-        work,
-        {
-            tmp["x_order"]: F.when(F.size(F.col(x)) > 0, ranked(axis_residuals(F.col(x), at["x_said"]))),
-            tmp["y_order"]: F.when(F.size(F.col(y)) > 0, ranked(share_residuals(at["top"], at["y_said"]))),
-        },
-    )
-    return evaluated_once(work, {"x_unit": choose(at["x_order"]), "y_unit": choose(at["y_order"])}).drop(*tmp.values())
+    has_x, has_y = F.size(F.col(x)) > 0, F.size(F.col(y)) > 0
+    work = evaluated_once(df, {tmp["x_said"]: x_said, tmp["y_said"]: y_said, tmp["top"]: largest(F.col(y)), tmp["facts"]: F.when(has_x, axis_facts(F.col(x)))})
+    candidates = lambda residuals, there: F.array(*[F.struct(F.coalesce(F.when(there, F.round(r, 6)), F.lit(0.0)).alias("residual"), F.lit(n).alias("unit")) for n, r in residuals.items()])
+    work = evaluated_once(work, {tmp["x_own"]: candidates(axis_residuals(at["facts"], at["x_said"]), has_x)})
+    work = evaluated_once(work, {tmp["y_own"]: candidates(share_residuals(at["top"], at["y_said"]), has_y)})
+    work = evaluated_once(work, {tmp["all"]: combined(at["x_own"], at["y_own"])})
+    work = evaluated_once(work, {tmp["best"]: F.array_min(at["all"])})
+    return evaluated_once(work, {"x_unit": F.when(has_x, _of_combination(at["all"], at["best"], "x")), "y_unit": F.when(has_y, _of_combination(at["all"], at["best"], "y"))}).drop(*tmp.values())
 
 
 def resolve_instruments(
@@ -190,7 +225,7 @@ def resolve_instruments(
     is_axis, is_width = F.regexp_like(k, F.lit("wavel|waven")), F.regexp_like(k, F.lit("bandp|resol|fwhm|width"))
     said = F.coalesce(stated(F.col(unit), WAVELENGTH), stated(F.col(remark).substr(F.lit(1), F.length(remark)), WAVELENGTH_REMARK), F.when(F.regexp_like(k, F.lit("waven")), F.lit("wavenumber")))
     v = F.col(values)
-    own = axis_residuals(v, said)
+    own = axis_residuals(axis_facts(v), said)
     lengths = {u.name: u for u in WAVELENGTH}
     mean = F.aggregate(v, F.lit(0.0), lambda a, e: a + F.coalesce(e.cast("double"), F.lit(0.0))) / F.size(v)
     width = {n: F.when(~F.lit(u.reciprocal), F.abs(F.ln(F.when(mean > 0, mean) * u.factor / 0.2)) * 0.3).otherwise(F.lit(9.0)) + _denied(said, u) for n, u in lengths.items()}

@@ -70,21 +70,25 @@ def p5_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_common(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every spectrum in micrometers and fractions of one, summed up by its range and mean."""
+    """Every spectrum in micrometers and fractions of one: its arrays and bounds, and whether other units fit as well."""
     s = one_per_key(table(spark, sf_dir, "spectra"), "spectrumid")
     r = units.resolve_spectra(s)
-    x = units.converted(F.col("xdata"), F.col("x_unit.unit"), units.WAVELENGTH)
-    y = units.converted(F.col("ydata"), F.col("y_unit.unit"), units.FRACTION)
-    r = r.select("spectrumid", x.alias("x"), y.alias("y"))
+    x_unit, y_unit = F.col("x_unit.unit"), F.col("y_unit.unit")
+    lo, hi = units.converted_bounds(F.col("minwavelength"), F.col("maxwavelength"), x_unit)
     return r.select(
-        "spectrumid",
-        F.round(F.array_min("x"), 4).alias("x_min_um"),
-        F.round(F.array_max("x"), 4).alias("x_max_um"),
-        F.round(F.aggregate(F.filter("y", lambda v: ~F.isnan(v)), F.lit(0.0), lambda a, v: a + v), 4).alias("y_sum"),
-    )
+        "spectrumid", units.converted(F.col("xdata"), x_unit, units.WAVELENGTH).alias("x_um"), units.converted(F.col("ydata"), y_unit, units.FRACTION).alias("y_fraction"),
+        lo.alias("minwavelength_um"), hi.alias("maxwavelength_um"), F.col("x_unit.unique").alias("x_unique"), F.col("y_unit.unique").alias("y_unique"),
+    )
+
+
+def p5_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every array of usgs_spectrometer in micrometers, with the unit found and whether it is the only one that fits; responses have none."""
+    r = units.resolve_instruments(table(spark, sf_dir, "usgs_spectrometer"))
+    unit = F.col("x_unit.unit")
+    return r.select("spectrometerdataid", "measurementtype", unit.alias("unit"), F.col("x_unit.unique").alias("unique"), units.converted(F.col("valuesarray"), unit, units.WAVELENGTH).alias("values_um"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_loaded, p5_found, p5_units, p5_common)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_loaded, p5_found, p5_units, p5_common, p5_instruments)}
 ORACLES: dict[str, str] = {}
 
 _CELL = '(?:"(?:[^"]|"")*"|[^,"]*)'

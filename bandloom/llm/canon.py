@@ -13,9 +13,10 @@ import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bandloom.common import maybe_broadcast
 from bandloom.session import cut
@@ -136,9 +137,15 @@ def _ranked(sets: DataFrame, rarity: DataFrame, keys: list[str]) -> DataFrame:
     return ex.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("ordered"))
 
 
+def _least(n: Column, share: Fraction) -> Column:
+    """The least whole number that is ``share`` of ``n`` or more, by whole numbers: rounding can't lose a pair at the threshold."""
+    return F.floor((n * share.numerator + (share.denominator - 1)) / share.denominator).cast("int")
+
+
 def _prefix(side: DataFrame, keys: list[str], threshold: float, size: str, pos: str) -> DataFrame:
     n = F.size("ordered")
-    keep = n - F.ceil(n * threshold).cast("int") + 1
+    share = Fraction(threshold).limit_denominator(10_000)
+    keep = n - _least(n, share) + 1
     return side.select(*keys, n.alias(size), F.posexplode(F.slice("ordered", F.lit(1), keep)).alias(pos, "token"))
 
 
@@ -165,10 +172,10 @@ def map_to_terms(values: DataFrame, terms: DataFrame, threshold: float = 0.45, p
     ys = _ranked(spelled, rarity, skeys)
     px = _prefix(xs, ["field", "value"], threshold, "nx", "ix")
     py = _prefix(ys, skeys, threshold, "ny", "iy")
+    share = Fraction(threshold).limit_denominator(10_000)
+    both_least = _least(F.col("nx") + F.col("ny"), share / (1 + share))
     near = px.join(py, ["field", "token"]).where(
-        (F.col("nx") >= F.col("ny") * threshold)
-        & (F.col("ny") >= F.col("nx") * threshold)
-        & (F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= F.ceil((F.col("nx") + F.col("ny")) * threshold / (1 + threshold)) - F.least("ix", "iy"))
+        (F.col("nx") >= _least(F.col("ny"), share)) & (F.col("ny") >= _least(F.col("nx"), share)) & (F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= both_least - F.least("ix", "iy"))
     )
     pairs = near.select("field", "value", "termid", "spelling").distinct()
     shared = lambda a, b: F.size(F.array_intersect(a, b))
@@ -177,7 +184,7 @@ def map_to_terms(values: DataFrame, terms: DataFrame, threshold: float = 0.45, p
     similarity = both_n / (F.size("x") + F.size("y") - both_n)
     numbers = lambda c: F.filter(c, lambda t: t.startswith("#"))
     full = full.withColumn("similarity", similarity).where(
-        (F.col("similarity") >= threshold)
+        (F.col("similarity") >= threshold - 1e-12)
         & (shared(F.col("x"), F.col("part_a")) >= F.size("part_a") * part)
         & (shared(F.col("x"), F.col("part_b")) >= F.size("part_b") * part)
         & (F.size(F.array_except(numbers(F.col("y")), F.col("x"))) == 0)

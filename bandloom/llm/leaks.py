@@ -94,6 +94,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
             yield frame.assign(fp=frame["fp"].astype("uint64").astype("int64"))
 
     prints = cut(long.mapInPandas(print_items, "fp long, item_id long, part string, pos int"))
+    # Parts under ``span`` words have no fingerprint and can't leak, so they go no further.
+    long = long.join(prints.select("item_id", "part").distinct(), ["item_id", "part"], "left_semi")
+    # One in ``window`` places is a fingerprint at least, so the words that are held are bounded, too.
     if prints.limit(held + 1).count() <= held:
         found = _against_held(sides, long, k, window, span)
     else:

@@ -21,6 +21,8 @@ from bandloom.session import cut
 
 #: Hashed words of the classifier; its counts are SLOTS numbers a source, whatever the vocabulary.
 SLOTS = 1 << 15
+#: Documents that are rounded to whole copies one after the other; each such slice is off by less than a document.
+SLICE_ROWS = 20_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -106,9 +108,29 @@ def members(docs: DataFrame, names: list[str], doc_key: str, text: str, source:
     return rows.groupBy("doc_id").agg(F.min(F.struct("tokens", "source", "member")).alias("m")).select("doc_id", "m.source", "m.tokens", "m.member")
 
 
+def _tops(member: np.ndarray, caps: np.ndarray) -> np.ndarray:
+    """How often a document may be used: the least cap of the sources that it may belong to."""
+    return np.where(member > 0, caps, np.inf).min(axis=1, initial=np.inf)
+
+
+def _rounded(rate: np.ndarray, weight: np.ndarray, top: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Rates as whole copies, one by one: up or down, whichever keeps the tokens used so far nearer to those wanted in all sources.
+
+    ``weight`` are the tokens of a document by source; ``state`` (used less wanted) goes on from call to call.
+    """
+    out = np.empty(len(rate), np.int32)
+    for i, (r, w, t) in enumerate(zip(rate, weight, top, strict=True)):
+        low = min(np.floor(r), t)
+        down, up = state + (low - r) * w, state + (low + 1 - r) * w
+        more = low + 1 <= t and r > low and (up * up).sum() < (down * down).sum()
+        state[:] = up if more else down
+        out[i] = low + more
+    return out
+
+
 def _rates(member: np.ndarray, caps: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     """Rates after the gradient steps so far, each cut off to lie between nothing and the document's cap."""
-    top = member @ caps
+    top = _tops(member, caps)
     r = np.zeros(len(member))
     for s in steps:
         r = np.clip(r + member @ s, 0, top)
@@ -120,9 +142,10 @@ def mix(docs: DataFrame, targets: DataFrame, doc_key: str = "doc_id", text: str
 
     ``targets`` has source, targetshare and maxrepeats, a row a source. Without
     ``total_tokens`` the mixture is the largest whose shares can all be reached.
-    ``copies`` is the rate rounded up or down by the document's hash, so shares
-    hold on the whole; it never exceeds maxrepeats of a document's source (or the
-    smallest of those it may belong to). Documents of sources without a target,
+    ``copies`` is the rate rounded up or down so that the tokens used keep to those
+    wanted document by document, in the order of a hash within slices of about
+    SLICE_ROWS documents; it never exceeds maxrepeats of a document's source (or
+    the smallest of those it may belong to). Documents of sources without a target,
     null keys, null and empty texts get no row. Shares that can't be reached come as
     near as the caps allow. Empty tables, or no targets, give an empty result.
     """
@@ -151,7 +174,7 @@ def mix(docs: DataFrame, targets: DataFrame, doc_key: str = "doc_id", text: str
             for b in batches:
                 if b.num_rows:
                     share, n = parts(b)
-                    r = share @ caps if known.value is None else _rates(share, caps, known.value)
+                    r = _tops(share, caps) if known.value is None else _rates(share, caps, known.value)
                     t += (share * (r * n)[:, None]).sum(axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names), dtype=np.int32)), pa.array(t)], names=["at", "t"])
 
@@ -174,18 +197,24 @@ def mix(docs: DataFrame, targets: DataFrame, doc_key: str = "doc_id", text: str
     done = sc.broadcast(steps)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, np.zeros(len(names))
         for b in batches:
             if not b.num_rows:
                 continue
-            share, _ = parts(b)
-            rate = _rates(share, caps, done.value)
-            ids = b.column("doc_id").to_pylist()
-            coin = np.array([xxhash.xxh64_intdigest(str(i)) for i in ids], dtype=np.uint64).astype(float) / 2.0**64
-            top = np.where(share > 0.05, caps, np.inf).min(axis=1)
-            copies = np.minimum(np.floor(rate + coin), np.where(np.isfinite(top), top, caps.min()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("tokens"), b.column("member"), pa.array(rate), pa.array(copies.astype(np.int32))], names=["doc_id", "source", "tokens", "member", "rate", "copies"])
-
-    return m.select("doc_id", "source", "tokens", "member").mapInArrow(decide, shape)
+            share, tokens = parts(b)
+            rate, top = _rates(share, caps, done.value), _tops(share, caps)
+            slices, copies = b.column("slice").to_numpy(), np.empty(b.num_rows, np.int32)
+            for s in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(slices)) + 1):
+                if slices[s[0]] != now:
+                    now, state = slices[s[0]], np.zeros(len(names))
+                copies[s] = _rounded(rate[s], share[s] * tokens[s, None], top[s], state)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("tokens"), b.column("member"), pa.array(rate), pa.array(copies)], names=["doc_id", "source", "tokens", "member", "rate", "copies"])
+
+    n_slices = max(1, int(np.ceil(m.count() / SLICE_ROWS)))
+    h = F.xxhash64("doc_id")
+    sliced = m.select("doc_id", "source", "tokens", "member", F.pmod(h, F.lit(n_slices)).cast("int").alias("slice"), h.alias("h"))
+    ordered = sliced.repartition(n_slices, "slice").sortWithinPartitions("slice", "h", "doc_id").drop("h")
+    return ordered.mapInArrow(decide, shape)
 
 
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from bandloom.session import cut
 BLOCK = 512
 #: A bucket with more rows is split into parts of about so many, and all pairs of parts become blocks.
 PART = 2048
-_CODED = "grp long, tab int, key long, id long, part int, code binary"
+_CODED = "grp long, tab int, key long, id long, code binary"
 
 
 def _planes(dim: int, tab: int, bits: int) -> np.ndarray:
@@ -51,7 +51,7 @@ def _code(tables: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values, start, length = _rows(b, "vec")
-            ids, grp, bits, part = (b.column(c).to_numpy() for c in ("id", "grp", "bits", "part"))
+            ids, grp, bits = (b.column(c).to_numpy() for c in ("id", "grp", "bits"))
             for dim in np.unique(length):
                 if dim == 0:
                     continue
@@ -70,13 +70,17 @@ def _code(tables: int) -> object:
                     sign = (z @ _planes(int(dim), t, 32).T) > 0
                     used = np.arange(32) < bits[rows][:, None]
                     key = ((sign & used) * (1 << np.arange(32, dtype=np.int64))).sum(axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(grp[rows]), pa.array(np.full(len(rows), t, np.int32)), pa.array(key), pa.array(ids[rows]), pa.array(part[rows]), data], names=["grp", "tab", "key", "id", "part", "code"])
+                    yield pa.RecordBatch.from_arrays([pa.array(grp[rows]), pa.array(np.full(len(rows), t, np.int32)), pa.array(key), pa.array(ids[rows]), data], names=["grp", "tab", "key", "id", "code"])
 
     return run
 
 
 def best_in_block(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, their neighbours): for each row of ``a`` the k rows of ``b`` with the greatest cosine of the codes, ``least`` or more; ties go to the smaller id."""
+    """(ids, their neighbours): for each row of ``a`` the rows of ``b`` with the greatest cosine of the codes, ``least`` or more.
+
+    Codes tell cosines to about 1e-6, so twice ``k`` are given; the cosines of the vectors themselves decide which k are nearest.
+    """
+    k = 2 * k
     fa, fb = (c.astype(np.float32) / np.linalg.norm(c.astype(np.float32), axis=1, keepdims=True) for c in (a, b))
 
     def int8(c: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +103,7 @@ def best_in_block(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.nda
     for s in range(0, len(i), 1 << 16):
         exact[s : s + (1 << 16)] = np.einsum("ij,ij->i", fa[i[s : s + (1 << 16)]], fb[j[s : s + (1 << 16)]])
     keep = exact >= least - 1e-4
-    i, j, exact = i[keep], j[keep], np.round(exact[keep], 5)
+    i, j, exact = i[keep], j[keep], np.round(exact[keep], 7)
     order = np.lexsort((ids_b[j], -exact, i))
     i, j = i[order], j[order]
     rank = np.arange(len(i)) - np.searchsorted(i, i, "left")
@@ -115,7 +119,6 @@ def nearest(
     min_similarity: float | None = None,
     tables: int = 3,
     block: int = BLOCK,
-    across: str | None = None,
 ) -> DataFrame:
     """(id, neighbour, similarity, rank): for each vector its ``k`` nearest by cosine, within equal ``group`` and length.
 
@@ -125,9 +128,6 @@ def nearest(
     ``min_similarity`` less similar neighbours are left out, and found faster.
     An empty table gives an empty result; other columns are ignored.
 
-    ``across`` names a column of 0 or 1: neighbours are then sought among the rows
-    of the other value only, in buckets, so ``min_similarity`` must be given.
-
     Without ``min_similarity`` the result is exact: all pairs of a group are
     compared, so work grows with the square of the rows, and ``tables`` and
     ``block`` count for nothing. With it, neighbours meet in at least one of
@@ -137,16 +137,13 @@ def nearest(
     """
     g = F.lit(0).cast("long") if group is None else F.col(f"`{group}`").cast("long")
     v = F.col(f"`{vector}`")
-    if across is not None and min_similarity is None:
-        raise ValueError("across needs min_similarity")
-    part = F.lit(0) if across is None else F.col(f"`{across}`").cast("int")
-    src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), g.alias("grp"), part.alias("part"), v.cast("array<float>").alias("vec")).where("id is not null and grp is not null and part is not null and size(vec) > 0")
+    src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), g.alias("grp"), v.cast("array<float>").alias("vec")).where("id is not null and grp is not null and size(vec) > 0")
     src = src.where(~F.exists("vec", lambda e: e.isNull() | F.isnan(e)))
     if min_similarity is None:
         return _ranked(_of_all_pairs(src, k), k)
     sizes = src.select("grp").groupBy("grp").agg(F.count("*").alias("n")).withColumn("bits", F.greatest(F.lit(0), F.least(F.lit(32), F.ceil(F.log2(F.col("n") / block)))).cast("int")).select("grp", "bits")
     sizes = cut(sizes)
-    coded = src.join(F.broadcast(sizes) if fits(sizes, 16) else sizes, "grp").select("id", "grp", "bits", "part", "vec").mapInArrow(_code(tables), _CODED)
+    coded = src.join(F.broadcast(sizes) if fits(sizes, 16) else sizes, "grp").select("id", "grp", "bits", "vec").mapInArrow(_code(tables), _CODED)
     # Hash of the bucket, so that one column of eight bytes is the key of the shuffle.
     coded = coded.withColumn("bucket", F.xxhash64("grp", "tab", "key", F.length("code")))
     blocks = _blocks(coded)
@@ -167,31 +164,8 @@ def nearest(
         b = np.concatenate([np.empty(0, np.int64), *[p[1] for p in pairs]])
         return pa.table({"id": pa.array(a), "neighbour": pa.array(b)})
 
-    def kernel_across(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        ids, side, part = (t.column(c).to_numpy() for c in ("id", "side", "part"))
-        raw = np.frombuffer(b"".join(t.column("code").to_pylist()), np.int16).reshape(len(ids), -1)
-        got: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]]
-        for p in (0, 1):
-            for x, y in ((2, 2), (0, 1), (1, 0)):
-                one, two = (np.flatnonzero((side == z) & (part == q)) for z, q in ((x, p), (y, 1 - p)))
-                if not len(one) or not len(two):
-                    continue
-                one, two = one[np.argsort(ids[one], kind="stable")], two[np.argsort(ids[two], kind="stable")]
-                a, b = best_in_block(ids[one], raw[one], ids[two], raw[two], k, min_similarity)
-                u, w = (c.astype(np.float32) / np.linalg.norm(c.astype(np.float32), axis=1, keepdims=True) for c in (raw[one], raw[two]))
-                i, j = np.searchsorted(ids[one], a), np.searchsorted(ids[two], b)
-                for o, v in zip(got, (a, b, np.einsum("ij,ij->i", u[i], w[j]) if len(i) else np.empty(0, np.float32)), strict=True):
-                    o.append(v)
-        return pa.table({c: np.concatenate(o) for c, o in zip(("id", "neighbour", "rough"), got, strict=True)})
-
-    if across is not None:
-        # Heaps of all blocks are merged by the cosine of the codes, so that few pairs meet their vectors.
-        rough = blocks.groupBy("bucket", "lo", "hi").applyInArrow(kernel_across, "id long, neighbour long, rough float").groupBy("id", "neighbour").agg(F.round(F.max("rough"), 5).alias("similarity"))
-        near = cut(_ranked(rough, k).select("id", "neighbour"))
-    else:
-        near = cut(blocks.groupBy("bucket", "lo", "hi").applyInArrow(kernel, "id long, neighbour long").distinct())
-    return _ranked(in_float(src.drop("grp", "part"), near).where(F.col("similarity") >= min_similarity), k)
+    near = cut(blocks.groupBy("bucket", "lo", "hi").applyInArrow(kernel, "id long, neighbour long").distinct())
+    return _ranked(in_float(src.drop("grp"), near).where(F.col("similarity") >= min_similarity), k)
 
 
 def _ranked(measured: DataFrame, k: int) -> DataFrame:
@@ -229,7 +203,7 @@ def best_of_all(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarr
 
 def _of_all_pairs(src: DataFrame, k: int) -> DataFrame:
     """(id, neighbour, similarity): all pairs of each group and length compared in double, the k best of each row and block kept."""
-    blocks = _blocks(src.select(F.xxhash64("grp", F.size("vec")).alias("bucket"), "id", F.lit(0).alias("part"), F.col("vec").alias("code")).distinct())
+    blocks = _blocks(src.select(F.xxhash64("grp", F.size("vec")).alias("bucket"), "id", F.col("vec").alias("code")).distinct())
 
     def kernel(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -248,15 +222,15 @@ def _of_all_pairs(src: DataFrame, k: int) -> DataFrame:
 
 def _blocks(coded: DataFrame) -> DataFrame:
     """Each bucket as one block (lo = hi, side 2), a large one as all pairs of its parts (sides 0 and 1)."""
-    coded = coded.select("bucket", "id", "part", "code")
+    coded = coded.select("bucket", "id", "code")
     large = cut(coded.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 2 * PART).select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
     if large.isEmpty():
-        return coded.select("bucket", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(2).alias("side"), "id", "part", "code")
+        return coded.select("bucket", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(2).alias("side"), "id", "code")
     split = coded.join(F.broadcast(large) if fits(large, 16) else large, "bucket", "left")
     split = split.withColumn("own", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return split.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "id", "part", "code")
+    return split.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), side.alias("side"), "id", "code")
 
 
 def in_float(vectors: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -108,4 +108,22 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_confidence, p3_found, p3_unmatched, p4_found, p4_nearest, p6_found, p6_restored, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_levels)}
-ORACLES: dict[str, str] = {}
+#: All spans of 12 words of both sides, joined; runs of hits on one diagonal are the repeated passages.
+_SPANS = r"""with parts as (select distinct item_id, part, text from (select item_id, 'passage' as part, passage as text from eval_items union all select item_id, 'question', question from eval_items) where item_id is not null and text is not null),
+iw as (select item_id, part, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from parts), dw as (select distinct doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where doc_id is not null and text is not null),
+ip as (select item_id, part, w, unnest(range(1, len(w) - 10)) as i from iw where len(w) >= 12), dp as (select doc_id, w, unnest(range(1, len(w) - 10)) as d from dw where len(w) >= 12),
+ig as (select item_id, part, i, hash(w[i:i + 11]) as g from ip), dg as (select doc_id, d, hash(w[d:d + 11]) as g from dp),
+hits as (select distinct doc_id, item_id, part, d, i from dg join ig using (g)),
+runs as (select doc_id, item_id, part, d - i as diagonal, i - row_number() over (partition by doc_id, item_id, part, d - i order by i) as island from hits),
+spans as (select doc_id, item_id, part, count(*) + 11 as n_words from runs group by doc_id, item_id, part, diagonal, island)"""
+#: Cosines in double of all pairs of one length.
+_COSINE = "list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)))"
+_SPECTRA = "with s as (select spectrumid as id, numvalues as g, ydata::double[] as v from spectra where spectrumid is not null and numvalues is not null and len(ydata) > 0 and len(list_filter(ydata, lambda e: e is null or isnan(e))) = 0), q as (select distinct * from s where list_inner_product(v, v) > 0)"
+ORACLES: dict[str, str] = {
+    "p7_found": _SPANS + " select distinct item_id, doc_id from spans",
+    "p7_items": _SPANS + " select item_id, cast(count(distinct doc_id) as bigint) as n_documents, cast(max(n_words) as int) as longest_run from spans group by item_id",
+    "p4_nearest": f"""with e as (select vec_id as id, embedding::double[] as v from embeddings), p as (select a.id, b.id as neighbour, {_COSINE} as similarity from e a join e b on a.id <> b.id),
+r as (select *, row_number() over (partition by id order by round(similarity, 12) desc, neighbour) as rank from p) select id, neighbour, round(similarity, 4) as similarity, cast(rank as int) as rank from r where rank <= 5""",
+    "p4_found": f"""{_SPECTRA}, p as (select a.id, b.id as neighbour, max({_COSINE}) as similarity from q a join q b on a.g = b.g and len(a.v) = len(b.v) and a.id <> b.id group by a.id, b.id),
+r as (select *, row_number() over (partition by id order by round(similarity, 9) desc, neighbour) as rank from p) select distinct least(id, neighbour) as spectrumid_a, greatest(id, neighbour) as spectrumid_b from r where rank <= 5 and similarity >= 0.995""",
+}

@@ -1,11 +1,10 @@
 """Reading level of documents, spread from graded ones over the graph of documents and the words they use.
 
-Words, pairs of words and sentence lengths are nodes beside the documents. A
-node's difficulty is the mean of its documents', a document's the mean of its
-nodes', each node weighing the more the less its documents differ. Graded
-documents are clamped to the mean of their grades, and both means are taken in
-turn: harmonic iterations, each one pass over the edges. Nodes are hashed to a
-fixed number, so what is sent around doesn't grow with the corpus.
+Words and pairs of words are nodes beside the documents. A node's difficulty is
+the mean of its documents', a document's the mean of its nodes', each node
+weighing the more the less its documents differ. Graded documents are clamped to
+the mean of their grades, and both means are taken in turn: harmonic iterations,
+each one pass over the edges, until the levels stay. Nodes to a fixed number, so what is sent around doesn't grow with the corpus.
 """
 
 from __future__ import annotations
@@ -21,8 +20,10 @@ from pyspark.sql import DataFrame, functions as F
 from bandloom.common import maybe_broadcast
 from bandloom.session import cut
 
-#: Nodes of words, word pairs and sentence lengths; two arrays of so many floats are broadcast in each iteration.
-NODES = 1 << 17
+#: Nodes of words and word pairs; two arrays of so many floats are broadcast in each iteration. Words that share a node share a difficulty.
+NODES = 1 << 20
+#: Turns in which the weights of nodes are estimated anew; afterwards they stay.
+WEIGHING = 2
 #: Graded documents that calibrate the scores; the others above this bound still spread their grades.
 CALIBRATION_ROWS = 100_000
 
@@ -83,16 +84,6 @@ def features(text: str | None, memo: dict) -> np.ndarray:
     for s in words_of:
         if s:
             names.update(f"{a} {b}" for a, b in zip(s, s[1:], strict=False) if a in _FUNCTION or b in _FUNCTION)
-    lengths = [len(s) for s in words_of if s]
-    # Shares of sentences by length and of words by length, as steps: a text has all steps up to its own.
-    for bound in (6, 9, 12, 16, 20, 25, 32, 45):
-        share = sum(x > bound for x in lengths) / len(lengths)
-        names.update(f"#s{bound}>{q}" for q in (0, 0.25, 0.5, 0.75) if share > q)
-        names.update(f"#s{bound}<{q}" for q in (0.25, 0.5, 0.75, 1) if share < q)
-    for bound in (4, 6, 8, 10, 12):
-        share = sum(len(w) > bound for w in words) / len(words)
-        names.update(f"#w{bound}>{q}" for q in (0, 0.05, 0.1, 0.2, 0.3, 0.45) if share > q)
-        names.update(f"#w{bound}<{q}" for q in (0.05, 0.1, 0.2, 0.3, 0.45) if share < q)
     return np.unique(np.fromiter((memo[x] for x in names), np.int32, len(names)))
 
 
@@ -169,13 +160,14 @@ def _state(sums: dict[str, np.ndarray], slope: float, shift: float) -> tuple:
     return level.astype(np.float32), np.maximum(weight, 0).astype(np.float32), slope, shift
 
 
-def reading_levels(docs: DataFrame, grades: DataFrame, doc_key: str = "doc_id", text: str = "text", grade: str = "level", iterations: int = 3, spread: float = 0.2) -> DataFrame:
+def reading_levels(docs: DataFrame, grades: DataFrame, doc_key: str = "doc_id", text: str = "text", grade: str = "level", iterations: int = 30, tolerance: float = 0.005, spread: float = 0.2) -> DataFrame:
     """(doc_id, level, step, graded) for each document with English running text, once.
 
     ``level`` is continuous from 1 to 5; ``step`` is the whole level, whose
     boundaries part graded documents with the fewest errors.
 
-    ``grades`` may hold several rows a document; their mean is clamped while
+    The iterations end when the levels of nodes change by no more than ``tolerance``
+    on average over edges, or after ``iterations`` at the latest. ``grades`` may hold several rows a document; their mean is clamped while
     spreading, and the reported level is the graph's estimate, calibrated on
     graded documents. An ungraded document spreads its estimate with the weight
     ``spread``. Null keys and texts, empty texts, pages without running text and
@@ -187,15 +179,25 @@ def reading_levels(docs: DataFrame, grades: DataFrame, doc_key: str = "doc_id",
     edges = d.mapInArrow(_edges, "doc_id long, nodes array<int>").where(F.size("nodes") > 0)
     graph = cut(edges.join(maybe_broadcast(g, 32), "doc_id", "left"))
     state = _state(_sums(graph, None, spread), 1.0, 0.0)
-    for _ in range(iterations):
-        # A mean of means is narrower than the grades; the line through the graded documents widens it again.
+    for turn in range(iterations):
         sums = _sums(graph, state, spread)
         k, x, y, xx, xy = sums["n"][NODES:]
         if not k:
             break
-        varied = xx - x * x / k
-        slope = (xy - x * y / k) / varied if varied > 1e-9 else 1.0
-        state = (*_state(sums, slope, (y - slope * x) / k)[:2], slope, (y - slope * x) / k)
+        level, weight, slope, shift = state
+        if turn < WEIGHING:
+            # A mean of means is narrower than the grades; the line through the graded documents widens it again.
+            varied = xx - x * x / k
+            slope = (xy - x * y / k) / varied if varied > 1e-9 else 1.0
+            new = _state(sums, slope, (y - slope * x) / k)
+        else:
+            # Weights and line stay, so what is left is linear, and its harmonic solution is approached.
+            new = (_state(sums, 1.0, 0.0)[0], weight, 1.0, 0.0)
+        n = sums["n"][:NODES]
+        moved = float((np.abs(new[0] - level) * n).sum() / max(n.sum(), 1e-12))
+        state = new
+        if turn >= WEIGHING and moved <= tolerance:
+            break
     fixed = graph.sparkSession.sparkContext.broadcast(state)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

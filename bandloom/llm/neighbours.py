@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from bandloom.common import fits
-from bandloom.session import cut
+from bandloom.session import cut, parallelism
 
 #: Rows that a bucket has on average; the number of hyperplanes follows from it.
 BLOCK = 512
 #: A bucket with more rows is split into parts of about so many, and all pairs of parts become blocks.
 PART = 2048
+#: Codes that a task compares, about.
+TASK_BYTES = 128 << 20
 _CODED = "grp long, tab int, key long, id long, code binary"
 
 
@@ -141,12 +143,16 @@ def nearest(
     src = src.where(~F.exists("vec", lambda e: e.isNull() | F.isnan(e)))
     if min_similarity is None:
         return _ranked(_of_all_pairs(src, k), k)
-    sizes = src.select("grp").groupBy("grp").agg(F.count("*").alias("n")).withColumn("bits", F.greatest(F.lit(0), F.least(F.lit(32), F.ceil(F.log2(F.col("n") / block)))).cast("int")).select("grp", "bits")
+    sizes = src.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.size("vec")).alias("entries")).withColumn("bits", F.greatest(F.lit(0), F.least(F.lit(32), F.ceil(F.log2(F.col("n") / block)))).cast("int")).select("grp", "bits", "entries")
     sizes = cut(sizes)
+    entries = sizes.agg(F.sum("entries")).first()[0] or 0
+    sizes = sizes.select("grp", "bits")
     coded = src.join(F.broadcast(sizes) if fits(sizes, 16) else sizes, "grp").select("id", "grp", "bits", "vec").mapInArrow(_code(tables), _CODED)
     # Hash of the bucket, so that one column of eight bytes is the key of the shuffle.
     coded = coded.withColumn("bucket", F.xxhash64("grp", "tab", "key", F.length("code")))
-    blocks = _blocks(coded)
+    # As many tasks as their codes, of two bytes an entry, need to stay small.
+    tasks = max(parallelism(df.sparkSession), -(-2 * entries * tables // TASK_BYTES))
+    blocks = _blocks(coded).repartition(int(tasks), "bucket", "lo", "hi")
 
     def kernel(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()

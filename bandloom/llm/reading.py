@@ -4,7 +4,8 @@ Words and pairs of words are nodes beside the documents. A node's difficulty is
 the mean of its documents', a document's the mean of its nodes', each node
 weighing the more the less its documents differ. Graded documents are clamped to
 the mean of their grades, and both means are taken in turn: harmonic iterations,
-each one pass over the edges, until the levels stay. Nodes to a fixed number, so what is sent around doesn't grow with the corpus.
+each one pass over the edges, until the levels stay. Nodes are
+hashed to a fixed number, so what is sent around doesn't grow with the corpus.
 """
 
 from __future__ import annotations

@@ -123,6 +123,24 @@ def test_garbled(spark):
     assert encoding.find_garbled(spark.createDataFrame([], "k long, text string"), ["k"]).count() == 0
 
 
+@pytest.mark.parametrize("second", ["cp1250", "koi8-r", "cp866"])
+def test_garbled_twice_in_two_ways(spark, second):
+    """Any second confusion is learned and undone, also in words that no twin shows."""
+    clean = ["método", "Größe", "außen", "pequeña", "région", "très", "prélevé"]
+    twice = lambda w: encoding.garble(encoding.garble(w, "utf-8", "cp1252"), "utf-8", second)
+    assert encoding.explain("prélevé", twice("prélevé")).startswith("utf-8>cp1252|utf-8>")
+    rows = [(i, f"word {w} here") for i, w in enumerate(clean * 8)] + [(1000 + i, f"word {twice(w)} here") for i, w in enumerate(clean)] + [(2000, f"see {twice('Mérland')} twice {twice('très')}")]
+    got = {r["k"]: (r["restored"], r["restorable"]) for r in encoding.find_garbled(spark.createDataFrame(rows, "k long, text string"), ["k"]).collect()}
+    assert got == {1000 + i: (f"word {w} here", True) for i, w in enumerate(clean)} | {2000: ("see Mérland twice très", True)}
+
+
+def test_alignment():
+    assert encoding.aligned("prélevé", "PrÃ©levÃ©") == [("é", "Ã©"), ("é", "Ã©")]
+    assert encoding.aligned("prélevé", "prelevé") == [] and encoding.explain("é", "é") is None
+    mender = encoding.Mender(["utf-8>cp1252"], frozenset("é"), mapped={"Ð¸Ð·": "из"})
+    assert mender.mend("a Ð¸Ð· b") == (True, "a из b")
+
+
 def test_garbled_signs_that_stand_alone(spark):
     clean = ["método", "Größe", "pequeña", "région", "très", "prélevé"]
     rows = [(i, f"word {w} here") for i, w in enumerate(clean * 8)] + [(100 + i, f"{i} – {i}, № {i}, 63–{i}") for i in range(8)]

@@ -97,6 +97,12 @@ def build_fwhm(centers: Sequence[float]) -> np.ndarray:
     return np.concatenate([d[:1], (d[1:] + d[:-1]) / 2, d[-1:]])
 
 
+def normal(mean: float, std: float, x: np.ndarray | float) -> np.ndarray:
+    """The density of a normal distribution."""
+    z = (np.asarray(x, float) - mean) / std
+    return np.exp(-z * z / 2) / (std * math.sqrt(2 * math.pi))
+
+
 def _phi(x: float) -> float:
     return (1 + math.erf(x / math.sqrt(2))) / 2
 

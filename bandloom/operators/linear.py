@@ -24,7 +24,12 @@ class LinearTransform:
         if np.ndim(self.matrix) == 1:
             self.matrix = self.matrix[None, :]
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
+    def __call__(self, x: object) -> object:
+        """Spectra in the last axis transformed; pixels and whatever has a method ``transform`` of its own are, too."""
+        if isinstance(x, DataFrame):
+            return self.apply(x)
+        if hasattr(x, "transform"):
+            return x.transform(self)
         x = np.asarray(x, float)
         if self.pre is not None:
             x = x + self.pre

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bandloom.common import maybe_broadcast
@@ -31,6 +32,30 @@ def pixel(pixels: DataFrame, row: int, col: int) -> DataFrame:
     return pixels.where((F.col("row") == row) & (F.col("col") == col))
 
 
+def datum(pixels: DataFrame, row: int, col: int, index: int, spectrum: str = "spectrum") -> float | None:
+    """One value; None where there is no such pixel or band."""
+    found = pixel(pixels, row, col).select(F.get(F.col(spectrum), F.lit(index) if index >= 0 else F.size(spectrum) + index).cast("double")).first()
+    return None if found is None else found[0]
+
+
+def shape(pixels: DataFrame, spectrum: str = "spectrum") -> tuple[int, int, int]:
+    """(rows, columns, bands) that the pixels span."""
+    r = pixels.agg(F.max("row"), F.max("col"), F.max(F.size(spectrum))).first()
+    return tuple(0 if v is None else v + k for v, k in zip(r, (1, 1, 0), strict=True))
+
+
+def to_array(pixels: DataFrame, most: int = 1 << 27, spectrum: str = "spectrum") -> np.ndarray:
+    """The image as an array (row, col, band) on the driver, NaN where a pixel lacks; its size is counted first, and ValueError raised beyond ``most`` values."""
+    size = shape(pixels, spectrum)
+    if np.prod(size, dtype=np.int64) > most:
+        raise ValueError("too large for one array")
+    out = np.full(size, np.nan)
+    t = pixels.where(F.col(spectrum).isNotNull()).select("row", "col", F.col(spectrum).cast("array<double>").alias("x")).toArrow()
+    if t.num_rows:
+        out[t.column("row").to_numpy(), t.column("col").to_numpy()] = t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+    return out
+
+
 def subregion(pixels: DataFrame, rows: tuple[int, int], cols: tuple[int, int], bands: Sequence[int] | None = None, rebase: bool = False) -> DataFrame:
     """Half-open ranges; with ``rebase`` the corner becomes (0, 0)."""
     out = pixels.where((F.col("row") >= rows[0]) & (F.col("row") < rows[1]) & (F.col("col") >= cols[0]) & (F.col("col") < cols[1]))

@@ -74,29 +74,40 @@ def ace(pixels: DataFrame, target: np.ndarray | list[np.ndarray], background: Ga
     return kernels.append(pixels, spectrum, {out: "double"}, lambda x: (ace_scores(x, mean, root, target),))
 
 
-class GaussianClassifier:
-    """Maximum likelihood of classes with their own covariance; classes of fewer pixels than ``min_samples`` (else bands) are dropped."""
+class Classifier:
+    """A classifier by scores: a subclass gives ``ids`` and, for a matrix of spectra, a column of ``scores`` for each; the greatest wins, ties go to the first."""
 
-    def __init__(self, classes: dict[int, GaussianStats], min_samples: int | None = None):
-        self.classes = {c: s for c, s in sorted(classes.items()) if s.nsamples >= (min_samples or len(s.mean))}
+    ids: list[int]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.log(s.prior) - s.log_det_cov / 2 - rx_scores(x, s.mean, s.inv_cov) / 2 for s in self.classes.values()], axis=1)
+        raise TypeError(f"{type(self).__name__} gives no scores")
 
     def best(self, x: np.ndarray) -> np.ndarray:
-        return np.array(list(self.classes))[self.scores(x).argmax(1)]
+        return np.array(self.ids)[self.scores(x).argmax(1)]
 
     def classify(self, pixels: DataFrame, spectrum: str = "spectrum", out: str = "predicted") -> DataFrame:
-        if not self.classes:
+        if not self.ids:
             raise ValueError("no class has enough pixels")
         return kernels.append(pixels, spectrum, {out: "int"}, lambda x: (self.best(x),))
 
 
+class GaussianClassifier(Classifier):
+    """Maximum likelihood of classes with their own covariance; classes of fewer pixels than ``min_samples`` (else bands) are dropped."""
+
+    def __init__(self, classes: dict[int, GaussianStats], min_samples: int | None = None):
+        self.classes = {c: s for c, s in sorted(classes.items()) if s.nsamples >= (min_samples or len(s.mean))}
+        self.ids = list(self.classes)
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.log(s.prior) - s.log_det_cov / 2 - rx_scores(x, s.mean, s.inv_cov) / 2 for s in self.classes.values()], axis=1)
+
+
 class MahalanobisClassifier(GaussianClassifier):
     """Least distance to class means under the covariance pooled by class size."""
 
     def __init__(self, classes: dict[int, GaussianStats]):
         self.classes = dict(sorted(classes.items()))
+        self.ids = list(self.classes)
         n = sum(s.nsamples for s in classes.values())
         self.inv = np.linalg.inv(sum(s.nsamples / n * s.cov for s in classes.values()))
 

@@ -73,10 +73,17 @@ def log_det(m: np.ndarray) -> float:
     return float(np.log(w[w > 0]).sum())
 
 
-def matrix_sqrt(m: np.ndarray, inverse: bool = False) -> np.ndarray:
-    """The symmetric square root of a symmetric matrix, or of its inverse."""
-    w, v = np.linalg.eigh(np.asarray(m, float))
-    return (v * np.sqrt(1 / w if inverse else w)) @ v.T
+def matrix_sqrt(m: np.ndarray | None, inverse: bool = False, symmetric: bool = True, eigs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The square root of a matrix or of its inverse; ``eigs`` (eigenvalues, eigenvectors as columns) spare the decomposition.
+
+    A matrix that isn't symmetric may have a complex root.
+    """
+    if eigs is None:
+        eigs = np.linalg.eigh(np.asarray(m, float)) if symmetric else np.linalg.eig(np.asarray(m))
+    w, v = eigs
+    w = w + 0j if not symmetric and (np.iscomplexobj(w) or (w < 0).any()) else w
+    root = v * (1 / np.sqrt(w) if inverse else np.sqrt(w))
+    return root @ v.T if symmetric else root @ np.linalg.inv(v)
 
 
 def class_stats(pixels: DataFrame, by: str | None = None, spectrum: str = "spectrum", allow_nan: bool = False) -> dict[int, GaussianStats]:
@@ -205,3 +212,44 @@ def training_classes(pixels: DataFrame, classes: DataFrame, indices: Sequence[in
     """Pixels joined to their class map, without the unlabelled, and only of ``indices`` if given."""
     joined = pixels.join(classes.where("class_id <> 0"), ["row", "col"])
     return joined if indices is None else joined.where(F.col("class_id").isin(list(indices)))
+
+
+class TrainingSet:
+    """Labelled pixels(row, col, spectrum, class_id) with the statistics of their classes, which are computed when first asked for."""
+
+    def __init__(self, samples: DataFrame, stats: dict[int, GaussianStats] | None = None):
+        self.samples = samples.where("class_id is not null and class_id <> 0")
+        self._stats = stats
+
+    @property
+    def stats_valid(self) -> bool:
+        return self._stats is not None
+
+    @property
+    def stats(self) -> dict[int, GaussianStats]:
+        if self._stats is None:
+            self._stats = class_stats(self.samples, "class_id")
+        return self._stats
+
+    def __len__(self) -> int:
+        return len(self.stats)
+
+    def __iter__(self) -> Iterator[int]:
+        return iter(self.stats)
+
+    def __getitem__(self, class_id: int) -> GaussianStats:
+        return self.stats[class_id]
+
+    def pixels(self, class_id: int) -> DataFrame:
+        return self.samples.where(F.col("class_id") == class_id)
+
+    def add(self, class_id: int, pixels: DataFrame) -> TrainingSet:
+        """With a further class; an id that is taken raises ValueError. The statistics of the others aren't computed again."""
+        if class_id == 0 or class_id in self.stats:
+            raise ValueError(f"class {class_id} is taken")
+        new = pixels.select("row", "col", "spectrum", F.lit(class_id).alias("class_id"))
+        return TrainingSet(self.samples.select("row", "col", "spectrum", "class_id").unionByName(new), {**self.stats, **class_stats(new, "class_id")})
+
+    def transform(self, t: LinearTransform) -> TrainingSet:  # noqa: F821
+        """All pixels transformed; statistics that are known follow from the transform without a pass."""
+        return TrainingSet(t.apply(self.samples), None if self._stats is None else {c: s.transform(t) for c, s in self._stats.items()})

@@ -90,14 +90,15 @@ def phrase(text: Column, subject: str) -> Column:
 
 
 def _spread(values: Column, u: Unit) -> Column:
-    """How far the channels are from equal steps in wavelength: the mean log ratio of each step to the mean step, over all steps."""
-    w = F.transform(values, lambda v: u.convert(v.cast("double")))
+    """How far the channels are from equal steps in wavelength: the log of one plus their mean distance, in steps, from where they would be."""
     n = F.size(values)
-    # Evaluated at every step, so it must not hold the converted array.
-    mean = F.try_divide(u.convert(F.get(values, n - 1).cast("double")) - u.convert(F.get(values, F.lit(0)).cast("double")), n - 1)
-    off = F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1), lambda a, b: F.try_divide(b - a, mean))
-    log = F.transform(off, lambda r: F.coalesce(F.least(F.abs(F.ln(F.when(r > 0, r))), F.lit(9.0)), F.lit(9.0)))
-    return F.when(n < 3, 0.0).otherwise(F.aggregate(log, F.lit(0.0), lambda t, v: t + v) / (n - 1))
+    at = lambda v: u.convert(v.cast("double"))
+    # Evaluated for each channel, so these must be cheap.
+    first, last = at(F.get(values, F.lit(0))), at(F.get(values, n - 1))
+    step = (last - first) / (n - 1)
+    off = F.transform(values, lambda v, i: F.abs(at(v) - first - i * step))
+    mean = F.try_divide(F.aggregate(off, F.lit(0.0), lambda t, v: t + v), F.abs(step) * n)
+    return F.when(n < 3, 0.0).otherwise(F.coalesce(F.least(F.ln(1 + mean), F.lit(9.0)), F.lit(9.0)))
 
 
 def axis_facts(values: Column, units: Sequence[Unit] = WAVELENGTH) -> Column:

@@ -232,6 +232,13 @@ def usgs_spectrum(samples: DataFrame, instruments: DataFrame, sample_id: int | N
     return s.join(maybe_broadcast(w, 1 << 14), "spectrometerdataid").where(F.size("xdata") == F.size("ydata")).select("sampleid", "xdata", "ydata")
 
 
+def usgs_library(samples: DataFrame, instruments: DataFrame, ids: Sequence[int] | None, centers: Sequence[float], fwhm: Sequence[float] | None = None) -> DataFrame:
+    """(spectrum_id, place, spectrum) of samples on other bands in micrometers; wavelengths in nanometers are converted first."""
+    nm = instruments.where(F.lower("unit").startswith("nanomet")).select(F.col("spectrometerdataid").alias("nm"))
+    um = instruments.join(maybe_broadcast(nm, 16), F.col("spectrometerdataid") == F.col("nm"), "left").withColumn("valuesarray", F.transform("valuesarray", lambda v: F.when(F.col("nm").isNotNull(), v / 1000).otherwise(v.cast("double"))))
+    return resampled_library(usgs_spectrum(samples, um.drop("nm")).withColumnRenamed("sampleid", "spectrumid"), ids, centers, fwhm)
+
+
 def splib_header(record: DataFrame) -> DataFrame:
     """``record`` with ``told``: library, record, then description, spectrometer, purity and kind of a sample, or kind, unit and description of an instrument record."""
     lead = F.format_string("%s Record=%d:", F.col("libname"), F.col("record"))

@@ -169,6 +169,44 @@ def test_local_windows_in_many_bands(spark):
         spatial.windowed(df, "rx", 7, 7, (14, 15))
 
 
+def test_training_sets_and_own_classifiers(spark, cube):
+    df = image(spark, cube).withColumn("class_id", (F.col("col") % 3).cast("int"))
+    t = stats.TrainingSet(df)
+    assert not t.stats_valid and len(t) == 2 and sorted(t) == [1, 2] and t.stats_valid
+    two = linear.LinearTransform(np.eye(4)[:2] * 2, post=1.0)
+    moved = t.transform(two)
+    again = stats.class_stats(moved.samples, "class_id")
+    assert all(np.allclose(moved[c].mean, again[c].mean) and np.allclose(moved[c].cov, again[c].cov) for c in (1, 2))
+    more = t.add(7, df.where("class_id = 0"))
+    assert len(more) == 3 and more[7].nsamples == 24 and more.pixels(7).count() == 24
+    with pytest.raises(ValueError):
+        t.add(1, df)
+
+    class First(score.Classifier):
+        ids = [4, 9]
+
+        def scores(self, x):
+            return np.column_stack([x[:, 0], x[:, 1]])
+
+    got = {(r["row"], r["col"]): r["predicted"] for r in First().classify(df).collect()}
+    assert all(got[i, j] == (4 if cube[i, j, 0] >= cube[i, j, 1] else 9) for i in range(8) for j in range(9))
+    assert np.allclose(two(t[1]).mean, moved[1].mean) and two(df).count() == 72
+
+
+def test_roots_arrays_and_values(spark, cube):
+    m = np.array([[2.0, 1.0], [0.5, 3.0]])
+    r = stats.matrix_sqrt(m, symmetric=False)
+    assert np.allclose(r @ r, m) and np.allclose(stats.matrix_sqrt(m, inverse=True, symmetric=False) @ r, np.eye(2))
+    s = np.array([[2.0, 1.0], [1.0, 2.0]])
+    assert np.allclose(stats.matrix_sqrt(None, eigs=np.linalg.eigh(s)), stats.matrix_sqrt(s))
+    df = image(spark, cube)
+    assert px.shape(df) == (8, 9, 4) and np.allclose(px.to_array(df), cube) and px.shape(df.limit(0)) == (0, 0, 0)
+    assert px.datum(df, 2, 3, -1) == pytest.approx(cube[2, 3, 3]) and px.datum(df, 99, 0, 0) is None
+    with pytest.raises(ValueError):
+        px.to_array(df, most=10)
+    assert curves.normal(0, 1, 0) == pytest.approx(0.3989422804)
+
+
 def test_pictures(spark, tmp_path):
     import struct
     import zlib

@@ -127,6 +127,10 @@ def test_splib_folder(spark, tmp_path):
     assert {r["sampleid"]: (r["spectrometer"], r["purity"], r["assumedwlspmeterdataid"]) for r in got.collect()} == {9: ("ASDFR", "a", 1), 8: ("NIC4", "aa", 1)}
     spectrum = signatures.usgs_spectrum(got, i, 9).first()
     assert np.allclose(spectrum["xdata"], [0.5, 0.6]) and np.allclose(spectrum["ydata"], [0.3, 0.4])
+    in_nm = i.withColumn("unit", F.lit("nanometer")).withColumn("valuesarray", F.transform("valuesarray", lambda v: (v * 1000).cast("float")))
+    for instr in (i, in_nm):
+        lib = signatures.usgs_library(got, instr, [9], [0.55], [0.1]).first()
+        assert lib["spectrum_id"] == 9 and lib["spectrum"][0] == pytest.approx(0.35, abs=1e-3)
     assert {r["told"] for r in signatures.splib_header(instruments.where("record = 1")).collect()} == {"liba Record=1: Wavelengths micrometer Wavelengths ASD 0.35-2.5 um"}
     for k in range(5):
         (tmp_path / f"{k}.spectrum.txt").write_text(f"Name: Rock {k}\n\n1.0 {k}\n")

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from bandloom.common import fits
+from bandloom.common import fits, maybe_broadcast
 from bandloom.session import cut, parallelism
 
 #: Rows that a bucket has on average; the number of hyperplanes follows from it.
@@ -141,8 +141,46 @@ def nearest(
     v = F.col(f"`{vector}`")
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), g.alias("grp"), v.cast("array<float>").alias("vec")).where("id is not null and grp is not null and size(vec) > 0")
     src = src.where(~F.exists("vec", lambda e: e.isNull() | F.isnan(e)))
-    if min_similarity is None:
-        return _ranked(_of_all_pairs(src, k), k)
+    copies = _copies(src, k)
+    # Of vectors that are alike in all entries one is compared, however many there are.
+    single = src if copies is None else src.join(maybe_broadcast(copies[0].where("id <> rep").select("id"), 16), "id", "left_anti")
+    found = _ranked(_of_all_pairs(single, k) if min_similarity is None else _in_buckets(single, k, min_similarity, tables, block), k)
+    return found if copies is None else _ranked(_with_copies(found.drop("rank"), *copies), k)
+
+
+def _copies(src: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
+    """((id, rep) of ids that share all entries of their vectors, (rep, the k + 1 least ids of each)), or None if there are none.
+
+    An id with several vectors is left as it is. No group is collected: of each
+    only the least ids are ever among the k nearest of others, as ties go to them.
+    """
+    key = ["grp", "h1", "h2"]
+    keyed = src.select("id", "grp", F.xxhash64("vec").alias("h1"), F.xxhash64(F.reverse("vec"), F.size("vec")).alias("h2"))
+    shared = cut(keyed.groupBy(*key).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select(*key))
+    if shared.isEmpty():
+        return None
+    members = cut(keyed.join(maybe_broadcast(shared, 64), key).distinct())
+    several = keyed.join(maybe_broadcast(members.select("id").distinct(), 16), "id", "left_semi").distinct().groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    members = members.join(maybe_broadcast(several, 16), "id", "left_anti")
+    reps = members.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = cut(members.join(maybe_broadcast(reps, 64), key).select("id", "rep"))
+    least = members.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("place") <= k + 1)
+    return members, cut(least.groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+
+
+def _with_copies(found: DataFrame, members: DataFrame, least: DataFrame) -> DataFrame:
+    """(id, neighbour, similarity): what was found for one of several copies holds for all, and each is near to the others."""
+    near = least.withColumnRenamed("rep", "neighbour")
+    wide = found.join(maybe_broadcast(near, 64), "neighbour", "left").select("id", F.explode(F.coalesce("ids", F.array("neighbour"))).alias("neighbour"), "similarity")
+    others = wide.join(maybe_broadcast(members.select(F.col("rep").alias("id")).distinct(), 16), "id", "left_anti")
+    held = wide.join(maybe_broadcast(least.select(F.col("rep").alias("id")), 16), "id", "left_semi").withColumnRenamed("id", "rep")
+    for_all = members.join(maybe_broadcast(held, 64), "rep").select("id", "neighbour", "similarity")
+    mates = members.join(maybe_broadcast(least, 64), "rep").select("id", F.explode("ids").alias("neighbour"), F.lit(1.0).alias("similarity"))
+    return others.unionByName(for_all).unionByName(mates).where("id <> neighbour").distinct()
+
+
+def _in_buckets(src: DataFrame, k: int, min_similarity: float, tables: int, block: int) -> DataFrame:
+    """(id, neighbour, similarity) of pairs that meet in a bucket of hyperplanes, measured in float."""
     sizes = src.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.size("vec")).alias("entries")).withColumn("bits", F.greatest(F.lit(0), F.least(F.lit(32), F.ceil(F.log2(F.col("n") / block)))).cast("int")).select("grp", "bits", "entries")
     sizes = cut(sizes)
     entries = sizes.agg(F.sum("entries")).first()[0] or 0
@@ -151,7 +189,7 @@ def nearest(
     # Hash of the bucket, so that one column of eight bytes is the key of the shuffle.
     coded = coded.withColumn("bucket", F.xxhash64("grp", "tab", "key", F.length("code")))
     # As many tasks as their codes, of two bytes an entry, need to stay small.
-    tasks = max(parallelism(df.sparkSession), -(-2 * entries * tables // TASK_BYTES))
+    tasks = max(parallelism(src.sparkSession), -(-2 * entries * tables // TASK_BYTES))
     blocks = _blocks(coded).repartition(int(tasks), "bucket", "lo", "hi")
 
     def kernel(t: pa.Table) -> pa.Table:
@@ -171,7 +209,7 @@ def nearest(
         return pa.table({"id": pa.array(a), "neighbour": pa.array(b)})
 
     near = cut(blocks.groupBy("bucket", "lo", "hi").applyInArrow(kernel, "id long, neighbour long").distinct())
-    return _ranked(in_float(src.drop("grp"), near).where(F.col("similarity") >= min_similarity), k)
+    return in_float(src.drop("grp"), near).where(F.col("similarity") >= min_similarity)
 
 
 def _ranked(measured: DataFrame, k: int) -> DataFrame:
@@ -261,7 +299,8 @@ def in_float(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
                 for s in range(0, len(at), 1 << 14):
                     p = at[s : s + (1 << 14)]
                     u, w = (m[o[p][:, None] + np.arange(dim)].astype(np.float64) for m, o in ((x, sx), (y, sy)))
-                    sim[p] = np.einsum("ij,ij->i", u, w) / (np.linalg.norm(u, axis=1) * np.linalg.norm(w, axis=1))
+                    # Equal cosines may differ in their last bits.
+                    sim[p] = np.round(np.einsum("ij,ij->i", u, w) / (np.linalg.norm(u, axis=1) * np.linalg.norm(w, axis=1)), 12)
             yield pa.RecordBatch.from_arrays([r.column("a"), r.column("b"), pa.array(sim)], names=["a", "b", "similarity"])
 
     sims = both.where(F.size("va") == F.size("vb")).select("a", "b", "va", "vb").mapInArrow(cosine, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))

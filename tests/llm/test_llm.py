@@ -102,6 +102,26 @@ def test_nearest_hot_group(spark, monkeypatch):
     assert len(got) == 200 and got[5] == [0, 1] and got[0] == [1, 2]
 
 
+@pytest.mark.parametrize("least", [None, 0.9])
+def test_nearest_among_copies(spark, least):
+    """A third of all rows are copies of one vector; some ids have two vectors; all as if every pair were compared."""
+    rng = np.random.default_rng(9)
+    x = rng.random((60, 6)) + 1
+    x[20:40] = x[5]
+    x[50] = x[51]
+    df = vectors(spark, x).unionByName(vectors(spark, x[[51, 30]]).withColumn("vid", F.col("vid") + 7))
+    got = {}
+    for r in neighbours.nearest(df, "vid", "v", k=3, min_similarity=least, tables=1).collect():
+        got.setdefault(r["id"], {})[r["rank"]] = r["neighbour"]
+    vs = {i: [x[i].astype(np.float32).astype(float)] for i in range(60)}
+    vs[7].append(vs[51][0])
+    vs[8].append(vs[30][0])
+    cos = lambda i, j: round(max(float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))) for a in vs[i] for b in vs[j]), 12)
+    for i in range(60):
+        want = [j for c, j in sorted((-cos(i, j), j) for j in range(60) if j != i) if least is None or -c >= least][:3]
+        assert [got[i][r] for r in sorted(got[i])] == want, i
+
+
 def test_nearest_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vid long, v array<float>")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bandloom.common import one_per_key, table
 from bandloom.functions import arrays
-from bandloom.operators import curves, iterate, linear, pixels as px, render, score, spatial, stats, units
+from bandloom.operators import curves, features, iterate, linear, pixels as px, render, score, spatial, stats, units
 from bandloom.sources import signatures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -551,3 +551,12 @@ def rgb_common_stretch(spark: SparkSession, d: str) -> DataFrame:
 def class_colours(spark: SparkSession, d: str) -> DataFrame:
     """The class map in the colours of classes; red and green."""
     return render.colour_classes(cube(spark, d).select("row", "col", "class_id")).select("row", "col", "r", "g")
+
+
+@_query(f"with {_PART}, l as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from p), q as (select row, col, (x - x0) / (x1 - x0) as u, (y - y0) / (y1 - y0) as v, class_id from p, l) select row, col, round(v, 6) as a, round(u, 6) as b, case when u >= 0.25 and u <= 0.75 and v <= 0.5 then 9 else class_id end as class_id from q")
+def feature_points(spark: SparkSession, d: str) -> DataFrame:
+    """The image as points of two features, with the points in a box given to another class."""
+    p = parts(spark, d)
+    at = features.points(p, p.select("row", "col", "class_id"), [1, 0])
+    done, _ = features.reassign(at, {1: (0.25, 0.75), 0: (0.0, 0.5)}, 9)
+    return at.drop("class_id").join(done, ["row", "col"]).select("row", "col", F.round(F.get("point", F.lit(0)), 6).alias("a"), F.round(F.get("point", F.lit(1)), 6).alias("b"), "class_id")

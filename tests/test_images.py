@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bandloom.operators import curves, iterate, linear, pixels as px, render, score, spatial, stats
+from bandloom.operators import curves, features, iterate, linear, pixels as px, render, score, spatial, stats
 from bandloom.plans import core, image_queries as q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings samples spectra spectra_raw usgs_samples usgs_spectrometer".split()
@@ -229,6 +229,16 @@ def test_pictures(spark, tmp_path):
         render.default_scale(3)
 
 
+def test_feature_points(spark):
+    assert features.mirrored_octants([0, 1, 2, 3, 4, 5]) == [(0, 1, 2), (3, 1, 2), (3, 4, 2), (0, 4, 2), (0, 1, 5), (3, 1, 5), (3, 4, 5), (0, 4, 5)]
+    assert features.place(17, 5) == (3, 2)
+    df = spark.createDataFrame([(0, 0, [0.0, 5.0]), (0, 1, [2.0, 5.0]), (1, 0, [4.0, 5.0]), (1, 1, None)], "row int, col int, spectrum array<double>")
+    at = features.points(df, spark.createDataFrame([(0, 1, 2)], "row int, col int, class_id int"), [0, 1])
+    assert {(r["row"], r["col"]): (list(r["point"]), r["class_id"], r["r"], r["g"]) for r in at.collect()} == {(0, 0): ([0.0, 0.0], 0, 255, 255), (0, 1): ([0.5, 0.0], 2, 0, 255), (1, 0): ([1.0, 0.0], 0, 255, 255)}
+    done, n = features.reassign(at, {0: (0.4, 1.0)}, 2)
+    assert n == 1 and {(r["row"], r["col"]): r["class_id"] for r in done.collect()} == {(0, 0): 0, (0, 1): 2, (1, 0): 2}
+
+
 def test_matching_class_ids(spark):
     a = spark.createDataFrame([(0, i, v) for i, v in enumerate([0, 0, 1, 1, 1, 2, 2, 9])], "row int, col int, class_id int")
     b = spark.createDataFrame([(0, i, v) for i, v in enumerate([0, 3, 5, 5, 3, 3, 3, 0])], "row int, col int, class_id int")

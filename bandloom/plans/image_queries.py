@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bandloom.common import one_per_key, table
+from bandloom.common import maybe_broadcast, one_per_key, table
 from bandloom.functions import arrays
 from bandloom.operators import curves, features, iterate, linear, pixels as px, render, score, spatial, stats, units
 from bandloom.sources import signatures
@@ -336,7 +336,8 @@ def signature_join(spark: SparkSession, d: str) -> DataFrame:
     """Every spectrum with its sample, once each."""
     sp = one_per_key(table(spark, d, "spectra").select("spectrumid", "sampleid", "numvalues", "minwavelength", "loadedat"), "spectrumid")
     sa = one_per_key(table(spark, d, "samples").select("sampleid", "name", "loadedat"), "sampleid")
-    return sp.join(sa.select("sampleid", "name"), "sampleid").select("spectrumid", "sampleid", "name", "numvalues", F.round("minwavelength", 4).alias("minwavelength"))
+    # A sample that a tenth of all spectra name: broadcast if the samples are measured to fit, else left to the skew join.
+    return sp.join(maybe_broadcast(sa.select("sampleid", "name"), 64), "sampleid").select("spectrumid", "sampleid", "name", "numvalues", F.round("minwavelength", 4).alias("minwavelength"))
 
 
 @_query("select phase, count(*) as n, count(distinct samplenum) as numbers from samples where phase is not null group by phase having count(*) > 2")
@@ -470,6 +471,12 @@ def pixel_purity(spark: SparkSession, d: str) -> DataFrame:
     return iterate.purity(cube(spark, d), 500, seed=3)
 
 
+@_query("select cast(count(*) as bigint) as n, cast(1000 as bigint) as total from embeddings")
+def pixel_purity_total(spark: SparkSession, d: str) -> DataFrame:
+    """Each of 500 directions has one least and one greatest pixel, and no pixel is lost."""
+    return iterate.purity(cube(spark, d), 500, seed=3).agg(F.count("*").alias("n"), F.sum("purity").alias("total"))
+
+
 @_query(f"with {_CUBE} select cast(count(*) as bigint) as n, 0 as below, 0.0::double as worst from cube")
 def convex_cone_rebuilds(spark: SparkSession, d: str) -> DataFrame:
     """Pixels as their abundances of endmembers and what is left: no abundance is below zero, and the sum gives the pixel again."""

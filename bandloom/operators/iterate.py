@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from bandloom.operators import kernels
 from bandloom.operators.score import distances
 from bandloom.operators.stats import min_max
-from bandloom.session import cut
+from bandloom.session import cut, discard
 
 
 def kmeans(pixels: DataFrame, nclusters: int = 10, max_iterations: int = 20, metric: str = "L2", start: np.ndarray | None = None, compare: Callable[[int, int], bool] | None = None, frames: list | None = None, spectrum: str = "spectrum") -> tuple[DataFrame, np.ndarray]:
@@ -122,7 +122,7 @@ def smacc(spectra: DataFrame, key: str, spectrum: str = "spectrum", min_endmembe
     its key reach the driver; lineage is cut each ``every`` steps.
     """
     state = spectra.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{spectrum}`").cast("array<double>").alias("residual")).where("key is not null and residual is not null").withColumn("abundances", F.array().cast("array<double>"))
-    state = cut(state)
+    state = kept = cut(state)
     if min_endmembers is None:
         first = state.first()
         if first is None:
@@ -177,7 +177,9 @@ def smacc(spectra: DataFrame, key: str, spectrum: str = "spectrum", min_endmembe
         keys.append(best["key"])
         state = state.mapInArrow(step, "key long, residual array<double>, abundances array<double>")
         if len(keys) % every == 0:
-            state = cut(state)
+            before, kept = kept, cut(state)
+            state = kept
+            discard(before)
     return keys, state
 
 

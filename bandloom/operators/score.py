@@ -74,6 +74,46 @@ def ace(pixels: DataFrame, target: np.ndarray | list[np.ndarray], background: Ga
     return kernels.append(pixels, spectrum, {out: "double"}, lambda x: (ace_scores(x, mean, root, target),))
 
 
+class Detector:
+    """Scores of pixels by "rx", "mf" (matched filter) or "ace", with a background and a target that may be set anew.
+
+    Called with pixels it gives them with a column of scores, called with spectra in
+    the rows of an array their scores. Without a background it takes that of the
+    pixels that it is called with. A target is a spectrum, or for "ace" a subspace
+    (rows of an array), or a list of either: then a pixel has a score for each.
+    """
+
+    def __init__(self, kind: str, target: np.ndarray | list | None = None, background: GaussianStats | None = None):
+        if kind not in ("rx", "mf", "ace"):
+            raise ValueError("kind must be rx, mf or ace")
+        self.kind = kind
+        self.set_target(target)
+        self.set_background(background)
+
+    def set_target(self, target: np.ndarray | list | None) -> None:
+        self.target = [np.asarray(t, float) for t in target] if isinstance(target, list) and np.ndim(target[0]) else None if target is None else np.asarray(target, float)
+
+    def set_background(self, background: GaussianStats | None) -> None:
+        self.background = background
+
+    def scores(self, x: np.ndarray, background: GaussianStats | None = None) -> np.ndarray:
+        b = background or self.background
+        if b is None or self.kind != "rx" and self.target is None:
+            raise ValueError("a background is needed, and a target unless the kind is rx")
+        if self.kind == "rx":
+            return rx_scores(x, b.mean, b.inv_cov)
+        one = (lambda t: mf_scores(x, b.mean, b.inv_cov, t)) if self.kind == "mf" else (lambda t: ace_scores(x, b.mean, b.sqrt_inv_cov, t))
+        return np.stack([one(t) for t in self.target], axis=1) if isinstance(self.target, list) else one(self.target)
+
+    def __call__(self, x: DataFrame | np.ndarray, spectrum: str = "spectrum", out: str = "score") -> DataFrame | np.ndarray:
+        if not isinstance(x, DataFrame):
+            return self.scores(np.atleast_2d(np.asarray(x, float)))
+        from bandloom.operators.stats import calc_stats
+
+        background = self.background or calc_stats(x, spectrum=spectrum)
+        return kernels.append(x, spectrum, {out: "array<double>" if isinstance(self.target, list) and self.kind != "rx" else "double"}, lambda v: (self.scores(v, background),))
+
+
 class Classifier:
     """A classifier by scores: a subclass gives ``ids`` and, for a matrix of spectra, a column of ``scores`` for each; the greatest wins, ties go to the first."""
 

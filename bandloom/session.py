@@ -51,7 +51,18 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _discard_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Deletes what ``cut`` wrote, once nothing that is still to be computed reads it: what is made of it has been cut itself."""
+    for df in cuts:
+        path = getattr(df, "_cut_at", None)
+        if path is not None:
+            target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _discard_at_exit(spark: SparkSession, path: str) -> None:

@@ -70,6 +70,40 @@ def render_header(meta: Mapping[str, object]) -> str:
     return "\n".join(lines) + "\n"
 
 
+def supported_dtypes() -> list[str]:
+    """The data types that headers have codes for."""
+    return [np.dtype(t).name for t in DTYPES.values()]
+
+
+@dataclass
+class BandInfo:
+    """Centers and widths of bands with their spread, unit and quantity, as headers tell them; what isn't told is None."""
+
+    centers: list[float] | None = None
+    bandwidths: list[float] | None = None
+    centers_std: list[float] | None = None
+    bandwidths_std: list[float] | None = None
+    unit: str = ""
+    quantity: str = ""
+
+    @classmethod
+    def of(cls, meta: Mapping[str, object]) -> BandInfo:
+        numbers = lambda k: [float(v) for v in meta[k]] if isinstance(meta.get(k), (list, tuple)) else None
+        return cls(numbers("wavelength"), numbers("fwhm"), unit=str(meta.get("wavelength units", "")), quantity="Wavelength" if "wavelength" in meta else "")
+
+    @classmethod
+    def of_table(cls, bands: DataFrame, unit: str = "nm") -> BandInfo:
+        """Of a table of bands as ``read_band_table`` gives it; a row a band."""
+        rows = sorted(bands.collect(), key=lambda r: r["band"])
+        return cls(*([r[c] for r in rows] for c in ("center", "fwhm", "center_std", "fwhm_std")), unit=unit, quantity="Wavelength")
+
+    def resampler(self, other: BandInfo) -> object:
+        """The transform from these bands to others in the same unit."""
+        from bandloom.operators.curves import band_resampler
+
+        return band_resampler(self.centers, other.centers, self.bandwidths, other.bandwidths)
+
+
 @dataclass
 class Layout:
     """Where each value of an image is."""
@@ -82,6 +116,16 @@ class Layout:
     scale: float = 1.0
     meta: dict = field(default_factory=dict)
 
+    @property
+    def bands(self) -> BandInfo:
+        return BandInfo.of(self.meta)
+
+    @property
+    def params(self) -> dict[str, object]:
+        """Sizes, place and kind of the data by name."""
+        r, c, b = self.shape
+        return {"nrows": r, "ncols": c, "nbands": b, "offset": self.offset, "dtype": self.dtype, "interleave": self.interleave, "scale": self.scale, "filename": self.path, "metadata": dict(self.meta)}
+
     def mapped(self, mode: str = "r") -> np.memmap:
         """The file's values in the order of its interleave; what isn't sliced isn't read."""
         r, c, b = self.shape

@@ -169,6 +169,25 @@ def test_local_windows_in_many_bands(spark):
         spatial.windowed(df, "rx", 7, 7, (14, 15))
 
 
+def test_detector_objects(spark, cube):
+    df, flat = image(spark, cube), cube.reshape(-1, 4)
+    b = stats.calc_stats(df)
+    for kind, want in (("rx", score.rx_scores(flat, b.mean, b.inv_cov)), ("mf", score.mf_scores(flat, b.mean, b.inv_cov, cube[1, 1])), ("ace", score.ace_scores(flat, b.mean, b.sqrt_inv_cov, cube[1, 1]))):
+        d = score.Detector(kind, cube[1, 1])
+        got = {(r["row"], r["col"]): r["score"] for r in d(df).collect()}
+        assert np.allclose([got[i, j] for i in range(8) for j in range(9)], want)
+        d.set_background(b)
+        assert np.allclose(d(flat), want)
+    d = score.Detector("ace", [cube[0, 0], cube[:2, 1]], b)
+    assert d(flat).shape == (72, 2) and len(d(df).first()["score"]) == 2
+    d.set_target(cube[2, 2])
+    assert d(flat).shape == (72,)
+    with pytest.raises(ValueError):
+        score.Detector("mf", None, b)(flat)
+    with pytest.raises(ValueError):
+        score.Detector("x")
+
+
 def test_training_sets_and_own_classifiers(spark, cube):
     df = image(spark, cube).withColumn("class_id", (F.col("col") % 3).cast("int"))
     t = stats.TrainingSet(df)

@@ -45,6 +45,11 @@ def test_new_images_and_complex_cubes(spark, tmp_path):
     assert all(np.allclose(got[i, j], z[i, j]) for i in range(2) for j in range(3))
     mods = rasters.complex_parts(rasters.read_image(spark, str(tmp_path / "z.hdr"), [1])).where("row = 1 and col = 2").first()
     assert mods["spectrum"][0] == pytest.approx(abs(z[1, 2, 1])) and mods["phase"][0] == pytest.approx(np.angle(z[1, 2, 1]))
+    assert lay.params["nbands"] == 1 and lay.bands == rasters.BandInfo() and "float32" in rasters.supported_dtypes()
+    info = rasters.BandInfo.of({"wavelength": ["1", "2"], "fwhm": [1, 1], "wavelength units": "um"})
+    assert info.centers == [1.0, 2.0] and info.unit == "um" and np.allclose(info.resampler(rasters.BandInfo([1.5], [1.0]))(np.array([3.0, 3.0])), 3.0)
+    table = spark.createDataFrame([(1, 2.0, 0.1, 0.0, 0.0), (0, 1.0, 0.1, 0.0, 0.0)], "band int, center double, fwhm double, center_std double, fwhm_std double")
+    assert rasters.BandInfo.of_table(table).centers == [1.0, 2.0]
     assert rasters.add_band_info({"fwhm": [1]}, [0.5], [0.1], "um") == {"fwhm": [1], "wavelength": [0.5], "wavelength units": "um"}
     with pytest.raises(Exception, match="bands must be"):
         rasters.read_image(spark, str(tmp_path / "z.hdr"), [5]).count()

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from bandloom.common import maybe_broadcast
-from bandloom.session import cut
+from bandloom.session import cut, discard
 
 #: Nodes of words and word pairs; two arrays of so many floats are broadcast in each iteration. Words that share a node share a difficulty.
 NODES = 1 << 20
@@ -209,6 +209,7 @@ def reading_levels(docs: DataFrame, grades: DataFrame, doc_key: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score.astype(float)), b.column("grade")], names=["doc_id", "score", "grade"])
 
     scored = cut(graph.mapInArrow(final, "doc_id long, score double, grade double").where("not isnan(score)"))
+    discard(graph)
     bounded = scored.where("grade is not null").orderBy(F.xxhash64("doc_id")).limit(CALIBRATION_ROWS).select("score", "grade").toArrow()
     bends, heights = _monotone(bounded.column("score").to_numpy(), bounded.column("grade").to_numpy())
     if not len(bends):

@@ -310,7 +310,7 @@ def test_matching_same_for_any_partitions(spark, sf):
 
 def test_candidates_against_all_pairs(spark, sf):
     """Of the pairs of equal number and piece, which all pairs would show, the buckets show nine in ten or more."""
-    pairs, _, records = matching.compared(table(spark, sf, "samples"), table(spark, sf, "ecostress_samples"), "sampleid", "name", "samplenum", "origin", 6, 4, 64, 3, 2)
+    pairs, _, records, _ = matching.compared(table(spark, sf, "samples"), table(spark, sf, "ecostress_samples"), "sampleid", "name", "samplenum", "origin", 6, 4, 64, 3, 2)
     side = lambda s: records.where(f"side = {s} and digits <> ''").select(F.col("rec").alias(f"rec_{'ab'[s]}"), "letters", "digits", "piece")
     equal = {tuple(r) for r in side(0).join(side(1), ["letters", "digits", "piece"]).select("rec_a", "rec_b").collect()}
     got = {tuple(r) for r in pairs.select("rec_a", "rec_b").collect()}

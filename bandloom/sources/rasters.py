@@ -138,7 +138,7 @@ class Layout:
         if self.interleave == "bip":
             out = m[rows, cols][..., pick]
         elif self.interleave == "bil":
-            out = m[rows][:, pick][..., cols].transpose(0, 2, 1)
+            out = m[rows][..., cols][:, pick].transpose(0, 2, 1)
         else:
             out = np.stack([m[b][rows, cols] for b in (range(self.shape[2]) if bands is None else bands)], axis=2)
         return np.asarray(out).astype(complex if out.dtype.kind == "c" else float) / self.scale

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,13 +34,15 @@ DIM = 32
 SHARDS = 12
 #: Tokens in more than this share of the records weigh less the commoner they are; there are at most as many of them as tokens in FREQUENT ** -1 records.
 FREQUENT = 1 / 2000
-#: Records of the second catalogue, drawn by hash, to whose candidates the mixture is fitted.
-FIT_RECORDS = 20_000
+#: The mixture is fitted to all records, those whose pairs fall into the same cells counted together. Up to so many cells (measured) the driver holds what is counted, beyond that the tasks go through it each round; the result is the same.
+FIT_CELLS = 1_000_000
 #: What stands for nothing.
 PLACEHOLDERS = ("", "-", "none", "null", "unknown", "n/a", "na")
 #: Steps of the cosines of number, origin and name (a value equal to a step is above it).
 _STEPS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97)
 _NONE = len(_STEPS) + 1
+#: A pair's steps of (number, piece, origin, name) are its cell.
+_SHAPE = (_NONE + 1, 3, _NONE + 1, _NONE + 1)
 _RECORD = "rec long, side int, letters string, digits string, piece string, place array<string>, words array<string>"
 
 
@@ -397,46 +399,58 @@ def _stratum(number: np.ndarray, piece: np.ndarray) -> np.ndarray:
     return np.where(number == _NONE, 0, np.where(number == 0, 1, np.where(piece == 0, 2, 3)))
 
 
-def fit_mixture(group: np.ndarray, steps: np.ndarray, first: np.ndarray, cosine: np.ndarray, rounds: int = 60) -> np.ndarray:
+def expected(batches: Iterable[pa.RecordBatch], odds: np.ndarray) -> np.ndarray:
+    """For each cell how many matches are expected, in units of 2 ** -30: whole numbers, so their sum is the same in any order.
+
+    A row of the batches is ``n`` records of the second catalogue whose pairs
+    fall into the same sorted ``cells``; at most one pair of a record is a match.
+    """
+    total = np.zeros(len(odds), np.int64)
+    for r in batches:
+        if not r.num_rows:
+            continue
+        at, size, n = r.column("cells").flatten().to_numpy(), r.column("cells").value_lengths().to_numpy(), r.column("n").to_numpy()
+        e = np.exp(np.minimum(odds[at], 50))
+        post = e / np.repeat(1 + np.add.reduceat(e, np.cumsum(size) - size), size)
+        np.add.at(total, at, np.rint(post * 2**30).astype(np.int64) * np.repeat(n, size))
+    return total
+
+
+def fit_mixture(pairs: np.ndarray, first: np.ndarray, high: np.ndarray, matches: Callable[[np.ndarray], np.ndarray], rounds: int = 60) -> np.ndarray:
     """Log odds of a match for each (number, piece, origin, name) step, by expectation maximisation.
 
-    ``group`` numbers the record of the second catalogue that each row of
-    ``steps`` belongs to; at most one row of a group is a match. ``first`` marks
-    the most alike row of each group; at first those of them are taken for
-    matches whose ``cosine`` over all attributes is high. Numbers that share
-    nothing (step 0) are no match: that is assumed, all else is estimated.
-    The shape of the result is (12, 3, 12, 12).
+    All arrays have a number for each cell: how many ``pairs`` are in it, how
+    many of them are the most alike of their record of the second catalogue
+    (``first``), and how many of these have a ``high`` cosine over all
+    attributes; at first those are taken for matches. ``matches`` gives the
+    expected matches of all records under given odds. Numbers that share nothing
+    (step 0) are no match: that is assumed, all else is estimated.
+    The result is a number for each cell, too.
     """
-    shape = (_NONE + 1, 3, _NONE + 1, _NONE + 1)
-    n, p, o, w = steps.T
+    n, p, o, w = (x.ravel() for x in np.indices(_SHAPE))
     z = _stratum(n, p)
-    groups = int(group.max()) + 1 if len(group) else 0
-    all_n, all_p, all_o, all_w = (x.ravel() for x in np.indices(shape))
-    all_z = _stratum(all_n, all_p)
     can = n > 0
-    post = np.where(first & can, np.where(cosine >= 0.8, 0.9, 0.5), 0.0)
+    post = np.where(can, 0.9 * high + 0.5 * (first - high), 0.0)
 
     def shares(x: np.ndarray, weight: np.ndarray, size: int, prior: float) -> np.ndarray:
         c = np.bincount(x, weight, size) + prior
-        return c / c.sum()
+        return (c / c.sum())[x]
 
     def by_stratum(x: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
-        whole = shares(x, weight, size, 0.5)
-        c = np.bincount(z * size + x, weight, 4 * size).reshape(4, size) + 5 * whole
-        return c / c.sum(axis=1, keepdims=True)
+        whole = np.bincount(x, weight, size) + 0.5
+        c = np.bincount(z * size + x, weight, 4 * size).reshape(4, size) + 5 * whole / whole.sum()
+        return (c / c.sum(axis=1, keepdims=True))[z, x]
 
-    at = np.ravel_multi_index((n, p, o, w), shape) if groups else np.empty(0, int)
     # What surely isn't a match tells how origin and name resemble each other without one.
-    sure = (~first | ~can).astype(float)
-    by_o, by_w = by_stratum(o, sure, shape[2]), by_stratum(w, sure, shape[3])
-    odds = np.full(len(all_n), -50.0)
-    for _ in range(rounds if groups else 0):
-        rest = 1 - post
-        yes = shares(n * 3 + p, post, shape[0] * 3, 0.05)[all_n * 3 + all_p] * shares(o, post, shape[2], 0.05)[all_o] * shares(w, post, shape[3], 0.05)[all_w] * max(post.sum(), 1e-6)
-        no = shares(n * 3 + p, rest, shape[0] * 3, 0.05)[all_n * 3 + all_p] * by_o[all_z, all_o] * by_w[all_z, all_w] * rest.sum()
-        odds = np.where(all_n > 0, np.log(yes) - np.log(no), -50.0)
-        e = np.where(can, np.exp(np.minimum(odds[at], 50)), 0.0)
-        post = e / (1 + np.bincount(group, e, groups))[group]
+    sure = np.where(can, pairs - first, pairs).astype(float)
+    by_o, by_w = by_stratum(o, sure, _SHAPE[2]), by_stratum(w, sure, _SHAPE[3])
+    odds = np.full(len(n), -50.0)
+    for _ in range(rounds if pairs.any() else 0):
+        rest = pairs - post
+        yes = shares(n * 3 + p, post, _SHAPE[0] * 3, 0.05) * shares(o, post, _SHAPE[2], 0.05) * shares(w, post, _SHAPE[3], 0.05) * max(post.sum(), 1e-6)
+        no = shares(n * 3 + p, rest, _SHAPE[0] * 3, 0.05) * by_o * by_w * max(rest.sum(), 1e-6)
+        odds = np.where(can, np.log(yes) - np.log(no), -50.0)
+        post = matches(odds) / 2**30
     return odds
 
 
@@ -459,7 +473,7 @@ def match(a: DataFrame, b: DataFrame, key: str, name: str, number: str, origin:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            at = np.ravel_multi_index([r.column(c).to_numpy() for c in ("s_number", "s_piece", "s_origin", "s_name")], (_NONE + 1, 3, _NONE + 1, _NONE + 1))
+            at = np.ravel_multi_index([r.column(c).to_numpy() for c in ("s_number", "s_piece", "s_origin", "s_name")], _SHAPE)
             yield pa.RecordBatch.from_arrays([r.column("rec_a"), r.column("rec_b"), r.column("cosine"), pa.array(np.exp(np.minimum(table.value[at].astype(float), 50)))], names=["rec_a", "rec_b", "cosine", "odds"])
 
     weighed = stepped.mapInArrow(weigh, "rec_a long, rec_b long, cosine double, odds double")
@@ -503,15 +517,37 @@ def compared(a: DataFrame, b: DataFrame, key: str, name: str, number: str, origi
     return full.withColumn("cosine", (known("number") * piece + known("origin") + known("name")) / F.greatest(told_by, F.lit(2))), classes, records, (vectors, found)
 
 
-def _fitted(stepped: DataFrame, bound: int = FIT_RECORDS) -> np.ndarray:
-    """The mixture fitted to the candidates of ``bound`` records at most."""
-    groups = stepped.select("rec_b").distinct()
-    drawn = groups.orderBy(F.xxhash64("rec_b")).limit(bound) if groups.count() > bound else groups
-    cell = F.expr(f"((s_number * 3 + s_piece) * {_NONE + 1} + s_origin) * {_NONE + 1} + s_name").cast("int")
-    got = stepped.join(drawn, "rec_b").select("rec_b", "rec_a", F.col("cosine").cast("float").alias("cosine"), cell.alias("cell")).toArrow()
-    b, a, cosine, at = (got.column(c).to_numpy() for c in ("rec_b", "rec_a", "cosine", "cell"))
-    order = np.lexsort((a, -cosine, b))
-    group = np.unique(b[order], return_inverse=True)[1]
-    first = np.r_[True, group[1:] != group[:-1]] if len(group) else np.empty(0, bool)
-    steps = np.stack(np.unravel_index(at[order], (_NONE + 1, 3, _NONE + 1, _NONE + 1)), axis=1)
-    return fit_mixture(group, steps, first, cosine[order])
+def _fitted(stepped: DataFrame, bound: int = FIT_CELLS) -> np.ndarray:
+    """The mixture fitted to the candidates of all records."""
+    step = F.expr(f"((s_number * 3 + s_piece) * {_NONE + 1} + s_origin) * {_NONE + 1} + s_name").cast("int")
+    celled = stepped.select("rec_b", "rec_a", F.col("cosine").cast("float").alias("cosine"), "s_number", step.alias("cell"))
+    # A record has a few candidates by each view, so its list is short; pairs that can't be matches stay out of it.
+    top = F.min(F.struct((-F.col("cosine")).alias("far"), "rec_a", "cell")).alias("top")
+    grouped = celled.groupBy("rec_b").agg(top, F.sort_array(F.collect_list(F.when(F.col("s_number") > 0, F.col("cell")))).alias("cells"))
+    profiles = cut(grouped.groupBy("cells", F.col("top.cell").alias("first"), (F.col("top.far") <= F.lit(-0.8).cast("float")).alias("high")).agg(F.count("*").alias("n")))
+
+    def by_cell(counts: DataFrame) -> np.ndarray:
+        got, out = counts.toArrow(), np.zeros(int(np.prod(_SHAPE)), np.int64)
+        out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+        return out
+
+    # At most as many rows as there are cells reach the driver.
+    pairs = by_cell(celled.groupBy("cell").agg(F.count("*")))
+    first, high = (by_cell(profiles.where(c).groupBy("first").agg(F.sum("n"))) for c in ("true", "high"))
+    likely = profiles.where(F.size("cells") > 0).select("cells", "n")
+    if (likely.agg(F.sum(F.size("cells"))).first()[0] or 0) <= bound:
+        held = likely.groupBy("cells").agg(F.sum("n").alias("n")).toArrow().to_batches()
+        odds = fit_mixture(pairs, first, high, lambda odds: expected(held, odds))
+    else:
+
+        def matches(odds: np.ndarray) -> np.ndarray:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = expected(batches, odds)
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "v"])
+
+            return by_cell(likely.mapInArrow(run, "cell int, v long").groupBy("cell").agg(F.sum("v")))
+
+        odds = fit_mixture(pairs, first, high, matches)
+    discard(profiles)
+    return odds

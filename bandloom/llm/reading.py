@@ -142,6 +142,8 @@ def _sums(graph: DataFrame, state: tuple | None, spread: float) -> dict[str, np.
 
     # Each task sums up its documents first, so at most NODES rows a task are shuffled, and at most NODES reach the driver.
     sums = graph.mapInArrow(run, "node int, n double, s double, q double").groupBy("node").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).toArrow()
+    # Of each turn the driver and all executors would else keep a file with the whole state.
+    known.destroy()
     out = {}
     for c in ("n", "s", "q"):
         a = np.zeros(NODES + 5)
@@ -210,6 +212,7 @@ def reading_levels(docs: DataFrame, grades: DataFrame, doc_key: str = "doc_id",
 
     scored = cut(graph.mapInArrow(final, "doc_id long, score double, grade double").where("not isnan(score)"))
     discard(graph)
+    fixed.destroy()
     bounded = scored.where("grade is not null").orderBy(F.xxhash64("doc_id")).limit(CALIBRATION_ROWS).select("score", "grade").toArrow()
     bends, heights = _monotone(bounded.column("score").to_numpy(), bounded.column("grade").to_numpy())
     if not len(bends):

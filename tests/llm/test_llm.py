@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -248,6 +250,20 @@ def test_level_edges(spark):
     assert reading.running_text("A title without end\nHome | News | About | Shop\nThis is a sentence of text.") == ["This is a sentence of text."]
 
 
+def test_level_states_are_deleted(spark, sf, monkeypatch):
+    """What each turn broadcasts leaves the disk with the turn, and the last state with the scores."""
+    folder = Path(spark.sparkContext._temp_dir)
+
+    def size():
+        return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+    sums, before, left = reading._sums, size(), []
+    monkeypatch.setattr(reading, "_sums", lambda *a: (sums(*a), left.append(size() - before))[0])
+    levels = reading.reading_levels(table(spark, sf, "documents"), table(spark, sf, "level_labels"))
+    assert len(left) > 3 and set(left) == {0} and size() == before
+    assert levels.count() > 0
+
+
 # --- matching ---------------------------------------------------------------------
 
 
